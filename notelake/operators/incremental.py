@@ -9,11 +9,13 @@ once, level by level, so that a run costs a few joins however many collections t
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..manifest import Manifest
+from ..session import written
 
 #: Bits of the hashed key that a level of the tree takes.
 BITS = 4
@@ -62,21 +64,23 @@ def changes(current: DataFrame, saved: DataFrame, deepest: int = 3) -> DataFrame
     """
     fields = ["tree", "key", "content"]
     sides = current.select(*fields).withColumn("side", F.lit("c")).unionByName(saved.select(*fields).withColumn("side", F.lit("s")))
-    entries = with_depth(sides).withColumn("depth", F.least("depth", F.lit(deepest)))
-    open_: DataFrame | None = None
-    done: DataFrame | None = None
-    bottom = leaves(entries, deepest)
-    for level, nodes in enumerate(levels(bottom, deepest)):
-        if open_ is not None:
+    entries = written(with_depth(sides).withColumn("depth", F.least("depth", F.lit(deepest))), "entries")
+    deepest = entries.agg(F.max("depth")).first()[0] or 0
+    bottom = written(leaves(entries, deepest), "leaves")
+    nodes = [n.withColumn("level", F.lit(level)) for level, n in enumerate(levels(bottom, deepest))]
+    forest = written(reduce(DataFrame.unionByName, nodes), "nodes")
+    done: list[DataFrame] = []
+    for level in range(deepest + 1):
+        own = forest.where(F.col("level") == level)
+        if done:
             parent = F.shiftrightunsigned("node", BITS) if level > 1 else F.lit(0).cast("long")
-            nodes = nodes.withColumn("parent", parent).join(open_.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi")
+            own = own.withColumn("parent", parent).join(done[-1].select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_semi")
         c = F.max(F.when(F.col("side") == "c", F.col("digest")))
         s = F.max(F.when(F.col("side") == "s", F.col("digest")))
-        open_ = nodes.groupBy("tree", "node").agg(c.alias("c"), s.alias("s")).where(~F.col("c").eqNullSafe(F.col("s"))).select("tree", "node")
-        ended = open_.withColumn("depth", F.lit(level))
-        done = ended if done is None else done.unionByName(ended)
+        done.append(own.groupBy("tree", "node").agg(c.alias("c"), s.alias("s")).where(~F.col("c").eqNullSafe(F.col("s"))).select("tree", "node", F.lit(level).alias("depth")))
+    differing = reduce(DataFrame.unionByName, done)
     at = F.coalesce(*[F.when(F.col("depth") == d, _range_at(d)) for d in range(deepest + 1)])
-    touched = entries.withColumn("node", at).join(done, ["tree", "depth", "node"], "left_semi")
+    touched = entries.withColumn("node", at).join(differing, ["tree", "depth", "node"], "left_semi")
     of = lambda side: F.max(F.when(F.col("side") == side, F.struct("content")))
     both = touched.groupBy("tree", "key").agg(of("c").alias("c"), of("s").alias("s"))
     kind = F.when(F.col("s").isNull(), "added").when(F.col("c").isNull(), "removed").when(~F.col("c.content").eqNullSafe(F.col("s.content")), "changed")

@@ -121,7 +121,7 @@ P4_FOUND = f"""
         FROM stats c JOIN stats b ON c.vault_id = b.vault_id AND c.type_name = b.type_name AND c.field_name = b.field_name AND c.load_no = b.load_no + 1),
     shown AS (SELECT j.vault_id, j.load_no, j.type_name, j.field_name, v, count(*) / (s.n - s.blanks) AS share FROM judged j JOIN stats s USING (vault_id, load_no, type_name, field_name)
         WHERE NOT empty AND j.field_type = 'string' AND s.kinds BETWEEN 1 AND 12 GROUP BY j.vault_id, j.load_no, j.type_name, j.field_name, v, s.n, s.blanks),
-    common AS (SELECT b.vault_id, b.load_no, b.type_name, b.field_name, coalesce(sum(least(x.share, y.share)), 0) AS common FROM both_ b
+    common AS (SELECT b.vault_id, b.load_no, b.type_name, b.field_name, coalesce(sum(least(x.share, coalesce(y.share, 0))), 0) AS common FROM both_ b
         LEFT JOIN shown x ON x.vault_id = b.vault_id AND x.load_no = b.load_no AND x.type_name = b.type_name AND x.field_name = b.field_name
         LEFT JOIN shown y ON y.vault_id = b.vault_id AND y.load_no = b.load_no - 1 AND y.type_name = b.type_name AND y.field_name = b.field_name AND y.v = x.v
         WHERE b.field_type = 'string' AND b.kinds BETWEEN 1 AND 12 AND b.kinds0 BETWEEN 1 AND 12 GROUP BY ALL),
