@@ -16,9 +16,9 @@ LOGS = 45.0
 def _mixed(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int, total_tokens: int | None):
     spark = documents.sparkSession
     sized = written(
-        documents.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text_id"), token_count(F.col("text"), vocabulary).alias("tokens")).where("tokens > 0 and source is not null"),
+        documents.where("source is not null and text <> ''").select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text_id"), token_count(F.col("text"), vocabulary).alias("tokens")),
         "sized",
-    )
+    ).where("tokens > 0")
     goals = {(r["mix_id"], r["source"]): r for r in targets.where("source is not null and target_share > 0").select("mix_id", "source", "target_share", "max_repeats").distinct().collect()}
     goal = spark.createDataFrame([(m, s) for m, s in goals], "mix_id int, source string")
     texts = written(
