@@ -17,6 +17,7 @@ from ..functions.typed import blank, fits, typed
 from ..manifest import Manifest
 
 KEYS = ["vault_id", "type_name", "record_id"]
+IDS = ["vault_id", "type_id", "record_id"]
 
 
 class Slots:
@@ -32,44 +33,47 @@ class Slots:
         self.width = max(map(len, self.fields.values()), default=0)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(type_name, key, slot, field_name, field_type); key: the name without case and outer spaces."""
-        rows = [(t, n.strip(" ").lower(), i, n, k) for t, own in self.fields.items() for i, (n, k) in enumerate(own)]
-        return spark.createDataFrame(rows, "type_name string, key string, slot int, field_name string, field_type string")
+        """(type_name, type_id, key, slot, field_id, field_name, field_type); key: the name without case and outer spaces.
+
+        The ids are for the length of a query: they depend on the declaration. The declaration came from the driver, so
+        it may be broadcast; Spark doesn't know its size and would shuffle the other side first.
+        """
+        rows = [(t, k, n.strip(" ").lower(), i, k * self.width + i, n, kind) for k, (t, own) in enumerate(self.fields.items()) for i, (n, kind) in enumerate(own)]
+        return spark.createDataFrame(rows, "type_name string, type_id int, key string, slot int, field_id int, field_name string, field_type string")
 
 
 def placed(cells: DataFrame, slots: Slots) -> DataFrame:
-    """cells with the slot of their field; fields that the type doesn't declare are left out."""
-    known = slots.table(cells.sparkSession).select("type_name", "key", "slot")
-    return cells.select(*KEYS, "load_no", "cell_id", "loaded_at", "cell_value", F.lower(F.trim("field_name")).alias("key")).join(known, ["type_name", "key"]).drop("key")
+    """cells with type_id and slot of their field; fields that the type doesn't declare are left out."""
+    known = slots.table(cells.sparkSession).select("type_name", "key", "type_id", "slot")
+    return cells.select(*KEYS, "load_no", "cell_id", "loaded_at", "cell_value", F.lower(F.trim("field_name")).alias("key")).join(F.broadcast(known), ["type_name", "key"]).drop("key")
 
 
 def _names(slots: Slots) -> list[str]:
     return [f"s{i}" for i in range(slots.width)]
 
 
-def deltas(cells: DataFrame, slots: Slots, batch: list[str] | None = None) -> DataFrame:
-    """A sparse wide row for each record and batch (load_no): keys, batch, s0, s1, ... with (loaded_at, cell_id, load_no, value)."""
+def deltas(cells: DataFrame, slots: Slots, keys: list[str] = KEYS) -> DataFrame:
+    """A sparse wide row for each record and batch (load_no) of placed cells: keys, load_no, s0, s1, ... with (loaded_at, cell_id, load_no, value)."""
     version = F.struct("loaded_at", "cell_id", "load_no", F.col("cell_value").alias("value"))
     filled = [F.max(F.when(F.col("slot") == i, version)).alias(s) for i, s in enumerate(_names(slots))]
-    batch = ["load_no"] if batch is None else batch
-    grouped = placed(cells, slots).withColumn("batch", F.struct(*batch) if batch else F.lit(0))
-    return grouped.groupBy(*KEYS, "batch").agg(*filled)
+    return cells.groupBy(*keys, "load_no").agg(*filled)
 
 
-def compacted(runs: DataFrame, slots: Slots) -> DataFrame:
+def compacted(runs: DataFrame, slots: Slots, keys: list[str] = KEYS) -> DataFrame:
     """One row for each record: in each slot the latest of all runs."""
-    return runs.groupBy(*KEYS).agg(*[F.max(s).alias(s) for s in _names(slots)])
+    return runs.groupBy(*keys).agg(*[F.max(s).alias(s) for s in _names(slots)])
 
 
 def latest(cells: DataFrame, slots: Slots) -> DataFrame:
-    """The compacted table of all batches. Rows are brought together by record once, before deltas are made, so that merging moves nothing."""
-    return compacted(deltas(cells.repartition("record_id"), slots), slots)
+    """The compacted table of all batches: IDS, s0, s1, ... Rows are brought together by record once, before deltas are made, so that merging moves nothing."""
+    together = placed(cells, slots).drop("type_name").repartition("record_id")
+    return compacted(deltas(together, slots, IDS), slots, IDS)
 
 
 def counting(wide: DataFrame, slots: Slots) -> DataFrame:
-    """The cells that count, one row for each filled slot: keys, load_no, cell_id, cell_value, field_name, field_type."""
-    each = wide.select(*KEYS, F.posexplode(F.array(*_names(slots))).alias("slot", "c")).where("c is not null")
-    return each.join(slots.table(wide.sparkSession).drop("key"), ["type_name", "slot"]).select(*KEYS, "c.load_no", "c.cell_id", F.col("c.value").alias("cell_value"), "field_name", "field_type")
+    """The cells that count, one row for each filled slot: vault_id, record_id, field_id, load_no, cell_id, cell_value."""
+    each = wide.select(*IDS, F.posexplode(F.array(*_names(slots))).alias("slot", "c")).where("c is not null")
+    return each.select("vault_id", "record_id", (F.col("type_id") * slots.width + F.col("slot")).alias("field_id"), "c.load_no", "c.cell_id", F.col("c.value").alias("cell_value"))
 
 
 def misfits(cells: DataFrame, schema_fields: DataFrame) -> DataFrame:
@@ -81,7 +85,7 @@ def misfits(cells: DataFrame, schema_fields: DataFrame) -> DataFrame:
     slots = Slots(schema_fields)
     if not slots.width:
         return cells.select("record_id", "field_name").limit(0)
-    own = counting(latest(cells, slots), slots)
+    own = counting(latest(cells, slots), slots).join(F.broadcast(slots.table(cells.sparkSession)), "field_id")
     return own.where(~blank(F.col("cell_value")) & ~fits(F.col("cell_value"), F.col("field_type"))).select("record_id", "field_name")
 
 
@@ -127,7 +131,7 @@ class WideStore:
     def upsert(self, cells: DataFrame) -> str:
         """Write a batch's delta as a run sorted by record."""
         run, at, before = f"run-{uuid.uuid4().hex}", self.manifest.version(), self.runs()
-        deltas(cells, self.slots, []).drop("batch").repartition("record_id").sortWithinPartitions("record_id").write.parquet(f"{self.folder}/{run}")
+        compacted(deltas(placed(cells, self.slots), self.slots), self.slots).repartition("record_id").sortWithinPartitions("record_id").write.parquet(f"{self.folder}/{run}")
         self.manifest.publish([*before, run], at)
         return run
 

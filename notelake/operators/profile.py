@@ -15,6 +15,7 @@ from ..session import written
 from .pivot import Slots, counting, latest
 
 GROUP = ["vault_id", "load_no", "type_name", "field_name"]
+IDS = ["vault_id", "load_no", "field_id"]
 
 #: Values of a group up to which its median is taken directly.
 WHOLE = 100_000
@@ -45,13 +46,19 @@ def medians(values: DataFrame, keys: list[str], whole: int = WHOLE) -> DataFrame
 
 
 def counted(cells: DataFrame, schema_fields: DataFrame) -> DataFrame:
-    """The counting cells, once for each distinct value of a group: GROUP, field_type, value, n, empty, valid."""
+    """The counting cells, once for each distinct value of a group: IDS, field_type, value, n, empty, valid."""
     slots = Slots(schema_fields)
     own = counting(latest(cells, slots), slots)
-    each = own.groupBy(*GROUP, "field_type", F.col("cell_value").alias("value")).agg(F.count("*").alias("n"))
+    each = own.groupBy(*IDS, F.col("cell_value").alias("value")).agg(F.count("*").alias("n"))
+    each = each.join(F.broadcast(slots.table(cells.sparkSession).select("field_id", "field_type")), "field_id")
     return each.withColumn("empty", blank(F.col("value"))).withColumn("valid", ~F.col("empty") & fits(F.col("value"), F.col("field_type")))
 
 
+def named(rows: DataFrame, schema_fields: DataFrame) -> DataFrame:
+    """rows with type_name and field_name for their field_id."""
+    return rows.join(F.broadcast(Slots(schema_fields).table(rows.sparkSession).select("field_id", "type_name", "field_name")), "field_id").drop("field_id")
+
+
 def profile(values: DataFrame, whole: int = WHOLE) -> DataFrame:
     """A row for each group of counted(): rows, blanks, distinct, invalid, least and most as text, power sums, median and standardised difference.
 
@@ -61,7 +68,7 @@ def profile(values: DataFrame, whole: int = WHOLE) -> DataFrame:
     number = F.col("valid") & F.col("field_type").isin("integer", "number")
     x = F.when(number, F.trim("value").try_cast("decimal(30,8)"))
     n = F.col("n")
-    stats = values.withColumn("x", x).groupBy(*GROUP, "field_type").agg(
+    stats = values.withColumn("x", x).groupBy(*IDS, "field_type").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("empty"), n).otherwise(0)).alias("blanks"),
         F.count(F.when(~F.col("empty"), F.lit(1))).alias("distinct"),
@@ -72,11 +79,11 @@ def profile(values: DataFrame, whole: int = WHOLE) -> DataFrame:
         F.try_sum(F.try_multiply("x", n.cast("decimal(8,0)"))).alias("s1"),
         F.try_sum(F.try_multiply((F.col("x").cast("double") * F.col("x").cast("double")).try_cast("decimal(30,6)"), n.cast("decimal(8,0)"))).alias("s2"),
     )
-    numbers = values.where(number).select(*GROUP, F.trim("value").try_cast("double").alias("x"), "n")
-    both = stats.join(medians(numbers, GROUP, whole), GROUP, "left")
+    numbers = values.where(number).select(*IDS, F.trim("value").try_cast("double").alias("x"), "n")
+    both = stats.join(medians(numbers, IDS, whole), IDS, "left")
     mean = F.col("s1").cast("double") / F.col("s0")
     both = both.withColumn("mean", mean).withColumn("deviation", F.sqrt(F.greatest(F.col("s2").cast("double") / F.col("s0") - mean * mean, F.lit(0.0))))
-    before = Window.partitionBy("vault_id", "type_name", "field_name").orderBy("load_no").rangeBetween(-1, -1)
+    before = Window.partitionBy("vault_id", "field_id").orderBy("load_no").rangeBetween(-1, -1)
     m, d = F.first("mean").over(before), F.first("deviation").over(before)
     pooled = F.sqrt((F.col("deviation") * F.col("deviation") + d * d) / 2)
     return both.withColumn("shift", F.when(pooled > 0, (F.col("mean") - m) / pooled))
@@ -96,7 +103,7 @@ def findings(cells: DataFrame, schema_fields: DataFrame, violations: DataFrame,
     """
     values = written(counted(cells, schema_fields), "values")
     stats = written(profile(values, whole), "profile")
-    keys = ["vault_id", "type_name", "field_name"]
+    keys = ["vault_id", "field_id"]
     both = _pairs(stats, keys)
     filled = lambda k: F.col(f"{k}.rows") - F.col(f"{k}.blanks")
     text = F.col("c.field_type") == "string"
@@ -109,16 +116,16 @@ def findings(cells: DataFrame, schema_fields: DataFrame, violations: DataFrame,
             F.when(~text & (filled("c") > 0) & (filled("b") > 0) & (F.try_divide("c.invalid", filled("c")) - F.try_divide("b.invalid", filled("b")) > INVALID), "invalid"),
         )
     )
-    plain = both.select(*GROUP, F.explode(said).alias("finding"))
+    plain = both.select(*IDS, F.explode(said).alias("finding"))
     # Few distinct values: half the sum of absolute differences of shares is 1 less the sum of the lesser shares.
     fits_few = lambda k: F.col(f"{k}.distinct").between(1, FEW)
-    few = both.where(text & fits_few("c") & fits_few("b")).select(*GROUP, filled("c").alias("of_c"), filled("b").alias("of_b"))
-    shown = values.where(~F.col("empty") & (F.col("field_type") == "string")).select(*GROUP, "value", "n")
-    now = few.join(shown, GROUP)
+    few = both.where(text & fits_few("c") & fits_few("b")).select(*IDS, filled("c").alias("of_c"), filled("b").alias("of_b"))
+    shown = values.where(~F.col("empty") & (F.col("field_type") == "string")).select(*IDS, "value", "n")
+    now = few.join(shown, IDS)
     then = shown.select(*keys, (F.col("load_no") + 1).alias("load_no"), "value", F.col("n").alias("n_b"))
-    overlap = now.join(then, [*GROUP, "value"], "left").groupBy(*GROUP).agg(F.sum(F.least(F.col("n") / F.col("of_c"), F.coalesce(F.col("n_b") / F.col("of_b"), F.lit(0.0)))).alias("common"))
-    shares = overlap.where(1 - F.col("common") > SHARES).select(*GROUP, F.lit("shares").alias("finding"))
-    own = plain.unionByName(shares).select(F.lit("cells").alias("table_name"), *GROUP, "finding")
+    overlap = now.join(then, [*IDS, "value"], "left").groupBy(*IDS).agg(F.sum(F.least(F.col("n") / F.col("of_c"), F.coalesce(F.col("n_b") / F.col("of_b"), F.lit(0.0)))).alias("common"))
+    shares = overlap.where(1 - F.col("common") > SHARES).select(*IDS, F.lit("shares").alias("finding"))
+    own = named(plain.unionByName(shares), schema_fields).select(F.lit("cells").alias("table_name"), *GROUP, "finding")
     return own.unionByName(violation_findings(violations))
 
 

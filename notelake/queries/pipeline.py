@@ -27,7 +27,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile(profile.counted(table(spark, sf_dir, "cells"), table(spark, sf_dir, "schema_fields")))
+    declared = table(spark, sf_dir, "schema_fields")
+    return profile.named(profile.profile(profile.counted(table(spark, sf_dir, "cells"), declared)), declared)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
