@@ -33,7 +33,7 @@ def references(links: DataFrame, schema_fields: DataFrame) -> DataFrame:
     rows = [tuple(r) for r in schema_fields.where("type_name is not null and field_name is not null").groupBy("type_name", "field_name").agg(F.max("link_target")).collect()]  # the declaration is small
     targets = links.sparkSession.createDataFrame(rows, "type_name string, field_name string, default_type string")
     parts = F.split("path", "/")
-    named = links.withColumn("path", link_path(F.col("target"))).where("path is not null").join(F.broadcast(targets), ["type_name", "field_name"], "left")
+    named = links.select("link_id", "vault_id", "type_name", "field_name", "linked_at", link_path(F.col("target")).alias("path")).where("path is not null").join(F.broadcast(targets), ["type_name", "field_name"], "left")
     return named.select("link_id", "type_name", "linked_at", "vault_id", F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.col("default_type")).alias("type"), F.element_at(parts, -1).alias("name"))
 
 

@@ -14,7 +14,9 @@ EDGES = "src_type string, src string, field string, pos int, folder string, name
 
 
 def _as_array(f: FieldSchema) -> Column:
-    return F.col(f"`{f.name}`") if f.effective_type in LINK_LIST_TYPES else F.array(F.col(f"`{f.name}`"))
+    """A field's texts as a list; a field of another type has none."""
+    c = F.col(f"`{f.name}`")
+    return c if f.spark == "array<string>" else F.array(c) if f.spark == "string" else F.array().cast("array<string>")
 
 
 def edges(tables: dict[str, DataFrame], schema: Schema, kinds=LINK_TYPES, declared_only: bool = False) -> DataFrame:
@@ -129,7 +131,7 @@ def resolve_pair(tables: dict[str, DataFrame], schema: Schema, pair: tuple[str,
         need = both.groupBy(F.col(key).alias("_record")).agg(F.sort_array(F.collect_set(other)).alias("__need"))
         joined = table.join(need, "_record", "left")
         c = F.col(f"`{field}`")
-        old = F.coalesce(c if known is None or known.effective_type in LINK_LIST_TYPES else F.array(c), F.array().cast("array<string>"))
+        old = F.coalesce(c if known is None else _as_array(known), F.array().cast("array<string>"))
         kept = F.filter(old, lambda x: links.link_folder(x).isNotNull())
         missing = F.array_except(F.coalesce(F.col("__need"), F.array().cast("array<string>")), F.transform(kept, links.link_name))
         merged = F.concat(kept, F.transform(missing, linked_to(target)))
