@@ -114,13 +114,14 @@ def _anchors(span: int, gram: int):
 def anchors(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, gram, link) for each winnowed anchor; link tells the anchor before it and the distance, 0 for none in reach."""
     ship(documents.sparkSession)
-    long = documents.select("doc_id", "text").where(F.char_length("text") >= span)
+    long = documents.select("doc_id", "text").where((F.char_length("text") >= span) & F.col("doc_id").isNotNull())
     return long.mapInPandas(_anchors(span, gram), "doc_id long, gram long, link long")
 
 
 def passages(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """(doc_id, gram): the recurring anchors that aren't redundant, once for each document that holds them."""
-    spread = anchors(documents, span, gram).repartition("gram")
+    spread = anchors(documents, span, gram)
+    # Summed up before it is shuffled, and joined where Spark can split a gram that very many documents hold.
     known = spread.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("link").alias("l"), F.max("link").alias("m")).where("a < b and (l <> m or l = 0)").select("gram")
     return spread.select("doc_id", "gram").join(known, "gram").distinct()
 
@@ -206,7 +207,7 @@ def _alike(span: int, gram: int):
 def shared_pairs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, shards: int | None = None) -> DataFrame:
     """(doc_a, doc_b), smaller first: each pair of documents that share an identical stretch of span or more code points.
 
-    Null texts and texts shorter than span share nothing; text is compared as stored. Rows of one doc_id are one
+    Null texts, null ids and texts shorter than span share nothing; text is compared as stored. Rows of one doc_id are one
     document. No pair is dropped, so a stretch that m documents share gives m * (m - 1) / 2 rows; for such data
     span_classes() has the classes and membership without the pairs.
     """
