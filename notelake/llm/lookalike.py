@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 
 #: Letters of other scripts that are drawn like a Latin letter, each string letter by letter like the one beside it.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХԚԜһаеѕіјорсухԁԛԝӏ"
@@ -104,11 +104,10 @@ def lookalikes(records: DataFrame) -> DataFrame:
 
     A null name or path doesn't count, nor does a null vault_id or type_name. Repeated rows count once.
     """
-    rows = records.select("vault_id", "type_name", F.col("record_id").alias("id"), F.explode(F.array(F.struct(F.lit("n").alias("part"), F.col("name").alias("text")), F.struct(F.lit("p").alias("part"), F.col("path").alias("text")))).alias("x"))
-    rows = rows.select("vault_id", "type_name", "id", "x.*").where("text is not null").withColumn("look", looks_like(F.col("text")))
-    # Text of plain ASCII is its own look: it matters only beside a text that isn't.
+    parts = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("text")) for c in ("name", "path")])
+    rows = records.select("vault_id", "type_name", F.col("record_id").alias("id"), F.explode(parts).alias("x")).select("vault_id", "type_name", "id", "x.*").where("text is not null")
+    looked = written(rows.withColumn("look", looks_like(F.col("text"))), "looks")  # else the looks are made again for each use
     keys = ["vault_id", "type_name", "part"]
-    odd = rows.where("look <> text")
-    looked = odd.select(*keys, "look").distinct()
-    near = rows.join(looked, [*keys, "look"], "left_semi")
-    return _twins(near.distinct(), keys).distinct()
+    # A look that no text differs from has one spelling only: the others are the few to be paired.
+    odd = looked.where("look <> text").select(*keys, "look").distinct()
+    return _twins(looked.join(odd, [*keys, "look"], "left_semi").distinct(), keys).distinct()
