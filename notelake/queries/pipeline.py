@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import drift, incremental, pivot, profile, references
 from ..session import table
@@ -18,6 +19,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.changes(table(spark, sf_dir, "raw_records"))
 
 
+def p2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified table, counted by row: every field of every row is in it once, and every value."""
+    each = drift.unified(table(spark, sf_dir, "raw_records"))
+    return each.groupBy("raw_id", "vault_id", "type_name", "file_id", "name").agg(F.count("*").alias("fields"), F.count("value").alias("values_"))
+
+
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unified(table(spark, sf_dir, "raw_records"))
 
@@ -28,7 +35,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = table(spark, sf_dir, "schema_fields")
-    return profile.named(profile.profile(profile.counted(table(spark, sf_dir, "cells"), declared)), declared)
+    out = profile.named(profile.profile(profile.counted(table(spark, sf_dir, "cells"), declared)), declared)
+    return out.select(*profile.GROUP, "field_type", "rows", "blanks", "distinct", "invalid", "least", "most", "s0", F.col("s1").cast("double").alias("s1"), F.col("s2").cast("double").alias("s2"), "median", "mean")
+
+
+def p4_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric columns whose mean moved by more than half a pooled deviation since the load before."""
+    declared = table(spark, sf_dir, "schema_fields")
+    out = profile.named(profile.profile(profile.counted(table(spark, sf_dir, "cells"), declared)), declared)
+    return out.where(F.abs("shift") > 0.5).select(*profile.GROUP, "mean", "deviation", "shift")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +73,7 @@ TYPES = "Projekte", "Personen", "Veranstaltungen", "Orte", "Organisationen", "Fo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p4_found, p4_profile, p5_found, p6_found, p6_report)}
+    own = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p2_rows, p4_found, p4_profile, p4_shifts, p5_found, p6_found, p6_report)}
     return own | {f"p5_wide_{t.lower()}": _wide(t) for t in TYPES}
 
 
@@ -136,6 +151,20 @@ P4_FOUND = f"""
     UNION ALL SELECT 'cells', vault_id, load_no, type_name, field_name, 'shares' FROM common WHERE 1 - common > 0.351
     UNION ALL SELECT 'lint_violations', c.vault_id, c.load_no, '*', 'field_name', 'nulls' FROM loads c JOIN loads b ON c.vault_id = b.vault_id AND c.load_no = b.load_no + 1 WHERE abs(c.share - b.share) > 0.201"""
 
+P4_PROFILE = f"""
+    WITH {COUNTING},
+    x AS (SELECT *, CASE WHEN valid AND field_type IN ('integer', 'number') THEN TRY_CAST(TRY_CAST(t AS DOUBLE) AS DECIMAL(30, 8)) END AS x FROM judged),
+    stats AS (SELECT vault_id, load_no, field_type, type_name, field_name, count(*) AS rows, count(*) FILTER (empty) AS blanks, count(DISTINCT v) FILTER (NOT empty) AS distinct_, count(*) FILTER (NOT empty AND NOT valid) AS invalid,
+        min(v) FILTER (NOT empty) AS least, max(v) FILTER (NOT empty) AS most, nullif(count(x), 0) AS s0, sum(x) AS s1, sum(round(x::DOUBLE * x::DOUBLE, 6)::DECIMAL(30, 6)) AS s2,
+        median(CASE WHEN valid AND field_type IN ('integer', 'number') THEN TRY_CAST(t AS DOUBLE) END) AS median FROM x GROUP BY ALL)
+    SELECT vault_id, load_no, type_name, field_name, field_type, rows, blanks, distinct_ AS distinct, invalid, least, most, s0, s1::DOUBLE AS s1, s2::DOUBLE AS s2, median, s1::DOUBLE / s0 AS mean FROM stats"""
+
+P2_UNIFIED = """
+    WITH once AS (SELECT vault_id, type_name, file_id, file_no, name, fields, min(raw_id) AS raw_id FROM raw_records GROUP BY ALL),
+    keyed AS (SELECT *, fields::JSON AS f, unnest(json_keys(fields::JSON)) AS k FROM once),
+    cell AS (SELECT raw_id, vault_id, type_name, file_id, name, json_extract(f, '$."' || k || '"') AS x FROM keyed)
+    SELECT raw_id, vault_id, type_name, file_id, name, count(*) AS fields, count(*) FILTER (NOT (json_type(x) = 'NULL' OR x::VARCHAR IN ('""', '[]'))) AS values_ FROM cell GROUP BY ALL"""
+
 P5_FOUND = f"WITH {COUNTING} SELECT record_id, field_name FROM judged WHERE NOT empty AND NOT valid"
 
 ORPHANS = """
@@ -165,6 +194,12 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": P5_FOUND,
         "p6_found": ORPHANS + " SELECT link_id, reason FROM orphans",
         "p6_report": ORPHANS + " SELECT type_name, strftime(linked_at, '%Y-%m') AS month, reason, count(*) AS links FROM orphans GROUP BY ALL",
+        "p4_profile": P4_PROFILE,
+        "p2_rows": P2_UNIFIED,
+        "p5_wide_projekte": _wide_sql("Projekte", "Titel:s Beginn:d Abgeschlossen:b Budget:i Traeger:a Staedte:a Erstellt:t Status:s Foerderquote:n"),
+        "p5_wide_veranstaltungen": _wide_sql("Veranstaltungen", "Titel:s Datum:d Teilnehmer:a Ort:l Plaetze:i Oeffentlich:b Format:s Beginnt:t"),
+        "p5_wide_orte": _wide_sql("Orte", "Name:s Land:s Einwohner:i Flaeche:n Tags:a Geprueft:b Ansprechpartner:l"),
+        "p5_wide_foerderprogramme": _wide_sql("Foerderprogramme", "Titel:s Geber:l Volumen:i Beteiligte:a"),
         "p5_wide_personen": _wide_sql("Personen", "Name:s Partei:l Aktiv:b Geburtstag:d Rolle:s Kontakt:l Stunden:n Mitglied_seit:i"),
         "p5_wide_organisationen": _wide_sql("Organisationen", "Name:s Leitung:l Gegruendet:i Umsatz:n Branche:s Sitz:l Aktiv:b Angelegt:t"),
     }
