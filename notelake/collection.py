@@ -46,9 +46,9 @@ class Collection:
     files: by type, what is known of each record's file (path, size, times, present keys); empty for plain tables.
     """
 
-    def __init__(self, spark: SparkSession, schema: Schema, tables: dict[str, DataFrame], *, files: dict[str, DataFrame] | None = None, cells: DataFrame | None = None, layout: markdown.Layout | None = None, bases: dict[str, dict] | None = None, pairs=(), now: datetime.datetime | None = None) -> None:
+    def __init__(self, spark: SparkSession, schema: Schema, tables: dict[str, DataFrame], *, files: dict[str, DataFrame] | None = None, cells: DataFrame | None = None, entries: DataFrame | None = None, layout: markdown.Layout | None = None, bases: dict[str, dict] | None = None, pairs=(), now: datetime.datetime | None = None) -> None:
         self.spark, self.schema, self.tables = spark, schema, tables
-        self.files, self.cells, self.layout, self.bases = files or {}, cells, layout, bases or {}
+        self.files, self.cells, self.entries, self.layout, self.bases = files or {}, cells, entries, layout, bases or {}
         self.pairs = [tuple(p) for p in pairs]
         self.now = now or formulas.Clock().now
         self.faults: dict[tuple[str, str], str] = {}
@@ -101,9 +101,11 @@ class Collection:
         if dangling not in DANGLING or untranslatable not in ("drop", "error"):
             raise ValueError(f"dangling is one of {DANGLING}, untranslatable drop or error")
         layout = markdown.list_folder(root, data, bases)
-        for path in layout.nested:
-            log.warning("%s is nested and is no record", path)
-        cells = written(markdown.scan(spark, layout, types), "cells")
+        entries = written(markdown.entries(spark, layout, types), "entries")
+        nested = entries.where("kind = 'nested'").count()
+        if nested:
+            log.warning("%d notes are nested and are no records", nested)
+        cells = written(markdown.scan(spark, entries), "cells", by="type")
         schema = Schema({t: TypeSchema(t) for t in layout.types if types is None or t in types})
         for r in sorted(infer(cells).collect(), key=lambda r: (r["pos"], r["field"])):  # as many rows as there are fields
             schema.types[r["type"]].fields.append(FieldSchema(r["field"], FieldType(r["field_type"]), r["link_target"]))
@@ -118,7 +120,7 @@ class Collection:
             present = own.where("field is not null").groupBy(F.col("record").alias("_record")).agg(F.collect_set("field").alias("present"))
             files[name] = own.where("field is null").select(F.col("record").alias("_record"), "path", parent.alias("parent"), "size", "ctime", "mtime").join(present, "_record", "left")
         read = {n: markdown.read_base(p) for n, p in (layout.base_files or {}).items()}
-        made = cls(spark, schema, tables, files=files, cells=cells, layout=layout, bases=read, pairs=pairs, now=now)
+        made = cls(spark, schema, tables, files=files, cells=cells, entries=entries, layout=layout, bases=read, pairs=pairs, now=now)
         made._options = dict(root=root, data=data, bases=bases, pairs=pairs, ignore_empty=ignore_empty, dangling=dangling, untranslatable=untranslatable, base_filters=base_filters, expand_to_lists=expand_to_lists, types=types)
         for name in schema.types:
             base = read.get(name)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import FieldType
 from . import links
 
 
@@ -41,3 +42,17 @@ def infer(cells: DataFrame) -> DataFrame:
     out = own.withColumn("lo", few).withColumn("hi", most).groupBy("type", "field").agg(F.min("pos").alias("pos"), field_type.alias("field_type"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     target = F.when(F.col("field_type").isin("link", "list[link]", "list[mixed]") & (F.col("lo") == F.col("hi")) & (F.col("lo") != ""), F.col("lo"))
     return out.select("type", "field", "pos", "field_type", target.alias("link_target"))
+
+
+def of_values(spark: SparkSession, values: list) -> tuple[FieldType, str | None]:
+    """The field type and link target of Python values, by the same aggregation."""
+    from ..sources.markdown import kind_of, text_of
+
+    rows = [("t", str(i), "f", 0, kind_of(v), text_of(v), [{"kind": kind_of(x), "text": text_of(x)} for x in _flat(v)] if isinstance(v, list) else None) for i, v in enumerate(values)]
+    cells = spark.createDataFrame(rows, "type string, record string, field string, pos int, kind string, text string, items array<struct<kind:string,text:string>>")
+    r = infer(cells).first()
+    return (FieldType(r["field_type"]), r["link_target"]) if r else (FieldType.UNKNOWN, None)
+
+
+def _flat(value: list) -> list:
+    return [y for x in value for y in (x if isinstance(x, list) else [x])]

@@ -51,7 +51,7 @@ def _shape(df: DataFrame, rule: str, severity: str, message: Column, details: Co
 
 
 def structure(owner) -> list[tuple]:
-    """S-1 to S-4, from the folder listing."""
+    """S-1 to S-3 and S-5 of types, from the types and base files."""
     layout, out = owner.layout, []
     if layout is None:
         return out
@@ -61,11 +61,18 @@ def structure(owner) -> list[tuple]:
     else:
         out += [violation("S-1", "error", t) for t in sorted(types - set(layout.base_files))]
         out += [violation("S-3", "warning", t) for t in sorted(set(layout.base_files) - set(layout.types))]
-    out += [violation("S-4", "warning", t, None, f"{RULES['S-4']}: {name}", {"entry": name}) for t, name in layout.odd]
     out += [violation("S-5", "warning", t, None, f"{RULES['S-5']}: {t}", {"name": t}) for t in layout.types if re.search(INVALID, t) or unicodedata.normalize("NFC", t) != t]
     return out
 
 
+def strange_entries(owner) -> list[DataFrame]:
+    """S-4: folders and other files among a type's notes."""
+    if owner.entries is None:
+        return []
+    odd = owner.entries.where("kind = 'odd'")
+    return [_shape(odd, "S-4", "warning", F.concat(F.lit(RULES["S-4"] + ": "), "name"), F.to_json(F.struct(F.col("name").alias("entry"))))]
+
+
 def portable_names(owner) -> DataFrame:
     """S-5: record names that aren't portable or not composed."""
     from ..functions.python_text import nfc
@@ -190,7 +197,7 @@ def lint(owner, homogeneity_threshold: float = 0.0, details: bool = True) -> Dat
     """All violations of a collection (VIOLATIONS). details=False leaves out the lists of records of R-1, which grow with a type."""
     spark: SparkSession = owner.spark
     known = spark.createDataFrame([*structure(owner), *formula_rules(owner)], VIOLATIONS)
-    parts = [known, portable_names(owner), *homogeneity(owner, homogeneity_threshold, details), *drift(owner), *link_rules(owner), *output_rule(owner), *pair_rules(owner)]
+    parts = [known, *strange_entries(owner), portable_names(owner), *homogeneity(owner, homogeneity_threshold, details), *drift(owner), *link_rules(owner), *output_rule(owner), *pair_rules(owner)]
     return reduce(DataFrame.unionByName, parts)
 
 

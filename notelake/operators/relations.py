@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import links
 from ..model import EDGE_TYPES, LINK_LIST_TYPES, LINK_TYPES, FieldSchema, FieldType, Schema, TypeSchema
+from ..session import written
 
 EDGES = "src_type string, src string, field string, pos int, folder string, name string, raw string"
 
@@ -120,7 +121,7 @@ def resolve_pair(tables: dict[str, DataFrame], schema: Schema, pair: tuple[str,
     PairError if expand_to_lists is off. Text that is no link goes; a one-part link comes back with its folder.
     """
     one, two = pair_edges(source or tables, asserted or schema, pair)
-    both = one.union(two).distinct()
+    both = written(one.union(two).distinct(), "pair")
     for side, key, other in ((0, "a", "b"), (1, "b", "a")):
         type_name, field = split_pair(pair[side], schema)
         target = split_pair(pair[1 - side], schema)[0]

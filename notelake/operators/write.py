@@ -131,7 +131,8 @@ def base_file(type_name: str, columns: list[str], data: str) -> str:
     return yaml.safe_dump(doc, sort_keys=False, allow_unicode=True)
 
 
-def _save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def save_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Write (path, content) rows as files, each whole or not at all."""
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -158,7 +159,7 @@ class Writer:
     def _write(self, files: dict[str, str]) -> None:
         if files:
             ship(self.owner.spark)
-            self.owner.spark.createDataFrame(list(files.items()), "path string, content string").repartition(min(len(files), 64)).mapInPandas(_save, "path string").count()
+            self.owner.spark.createDataFrame(list(files.items()), "path string, content string").repartition(min(len(files), 64)).mapInPandas(save_files, "path string").count()
 
     def _prepare(self, rows: list[dict], filename_col: str, taken: set[str], known: set[str] | None, allow_new: bool, on_invalid: str, on_collision: str, on_missing: str):
         """(receipt, fields, body) for each row, in order; rows that fail hold their reason as status."""

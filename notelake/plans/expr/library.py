@@ -334,7 +334,13 @@ def file_link(c, v: Value, display: Value | None = None) -> Value:
     return STR.of(F.concat(F.lit("[["), name.col, alias, F.lit("]]")))
 
 
-FILE_METHODS = {"hasTag": has_tag, "inFolder": in_folder, "hasProperty": has_property, "hasLink": has_link, "asLink": file_link, "asFile": lambda c, v: v, "toString": lambda c, v: _part(c, v, "path"), "isTruthy": lambda c, v: BOOL.of(F.lit(True) if v.kind == "namespace" else v.col.isNotNull())}
+def property_names(c, v: Value, *_) -> Value:
+    """The fields of the row or, of another record, those that the expression could read."""
+    own = [k for k in (v.fields or {}) if not k.startswith("_")]
+    return Value(F.array(*[F.lit(k) for k in own]).cast("array<string>"), "list", STR)
+
+
+FILE_METHODS = {"keys": property_names, "hasTag": has_tag, "inFolder": in_folder, "hasProperty": has_property, "hasLink": has_link, "asLink": file_link, "asFile": lambda c, v: v, "toString": lambda c, v: _part(c, v, "path"), "isTruthy": lambda c, v: BOOL.of(F.lit(True) if v.kind == "namespace" else v.col.isNotNull())}
 
 METHODS = {
     "contains": contains,

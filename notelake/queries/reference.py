@@ -6,6 +6,7 @@ A table is a type, its key a record, a foreign key a link; every query runs over
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from ..functions import links
 from ..model import FieldSchema, FieldType, Schema, TypeSchema
 from ..operators import graph as graphs
 from ..operators import lint, relations, views, write
-from ..session import table
+from ..session import shared_dir, table
 from ..sources.tables import cells_of, cells_of_json
 
 NOW = datetime.datetime(1998, 8, 2, 12, 0, 0)
@@ -580,6 +581,20 @@ def add_column_default(spark, d):
     return c.tables["customer"].join(mapping, "_record", "left").select("_record", F.coalesce("n", F.lit(0)).alias("orders"))
 
 
+@query("SELECT n_nationkey::VARCHAR AS _record, n_name, n_nationkey, n_name || ' in ' || n_regionkey AS label, r_name, '[[region/' || n_regionkey || ']]' AS raw FROM nation JOIN region ON n_regionkey = r_regionkey")
+def markdown_round_trip(spark, d):
+    """SRC-1..SRC-5, WRT-9, EXP-27: tables written as notes, loaded again, their types inferred and their links followed."""
+    root = shared_dir(spark).removeprefix("file:") + f"/notes-{uuid.uuid4().hex}"
+    nation = table(spark, d, "nation").select(F.lit("nation").alias("t"), F.col("n_nationkey").alias("k"), F.to_json(F.struct("n_nationkey", "n_name", F.concat(F.lit("[[region/"), "n_regionkey", F.lit("]]")).alias("n_regionkey"))).alias("j"))
+    region = table(spark, d, "region").select(F.lit("region").alias("t"), F.col("r_regionkey").alias("k"), F.to_json(F.struct("r_regionkey", "r_name")).alias("j"))
+    files = nation.unionByName(region).select(F.concat(F.lit(f"{root}/data/"), "t", F.lit("/"), F.col("k").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("---\n"), "j", F.lit("\n---\n\nA note.\n")).alias("content"))
+    files.mapInPandas(write.save_files, "path string").count()
+    c = Collection.from_folder(spark, root, now=NOW)
+    raw = c.tables["nation"].select("_record", F.col("n_regionkey").alias("raw"))
+    c.add_formulas("nation", {"label": "n_name + ' in ' + n_regionkey.asFile().name", "r_name": "n_regionkey.asFile().properties.r_name"})
+    return c.dfs["nation"].df().select("_record", "n_name", "n_nationkey", "label", "r_name").join(raw, "_record")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -35,12 +35,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once as a Parquet table in the shared folder and read back: cuts the lineage and keeps the columns prunable."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written once as a Parquet table in the shared folder and read back: cuts the lineage and keeps the columns prunable.
+
+    by: a column of few values to lay the table out by, so that readers of one value read nothing else.
+    """
     ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/notelake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

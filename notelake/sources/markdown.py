@@ -97,45 +97,67 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Layout:
-    """What lies where: notes by type, nested notes that don't count, odd entries of type folders, base files."""
+    """What the driver knows of a folder: its types and base files. Files are listed by the executors."""
 
     root: str
     data: str = "data"
     bases: str = "bases"
-    notes: list[tuple[str, str]] = field(default_factory=list)
     types: list[str] = field(default_factory=list)
-    nested: list[str] = field(default_factory=list)
-    odd: list[tuple[str, str]] = field(default_factory=list)
     base_files: dict[str, str] | None = None
 
 
 def list_folder(root: str, data: str = "data", bases: str = "bases") -> Layout:
-    """Folders that begin with _ are no types; only notes directly in a type's folder are records."""
+    """Folders that begin with _ are no types."""
     out = Layout(root, data, bases)
     top = os.path.join(root, data)
-    for entry in sorted(os.scandir(top), key=lambda e: e.name) if os.path.isdir(top) else []:
-        if not entry.is_dir() or entry.name.startswith("_"):
-            continue
-        out.types.append(entry.name)
-        for e in sorted(os.scandir(entry.path), key=lambda e: e.name):
-            if e.is_file() and e.name.endswith(".md"):
-                out.notes.append((e.path, entry.name))
-            else:
-                out.odd.append((entry.name, e.name))
-                if e.is_dir():
-                    out.nested += sorted(os.path.join(d, n) for d, _, names in os.walk(e.path) for n in names if n.endswith(".md"))
+    if os.path.isdir(top):
+        out.types = sorted(e.name for e in os.scandir(top) if e.is_dir() and not e.name.startswith("_"))
     if os.path.isdir(folder := os.path.join(root, bases)):
         out.base_files = {n.removesuffix(".base"): os.path.join(folder, n) for n in sorted(os.listdir(folder)) if n.endswith(".base")}
     return out
 
 
-def scan(spark: SparkSession, layout: Layout, types: list[str] | None = None) -> DataFrame:
-    """The cells of all notes, or of the given types only: their files alone are then opened."""
+ENTRIES = "type string, path string, name string, kind string"
+
+
+def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries of type folders, a chunk at a time: note, odd (anything else directly inside), nested (notes further down)."""
+    columns = [c.split()[0] for c in ENTRIES.split(", ")]
+    for batch in batches:
+        for folder, type_name in zip(batch["folder"], batch["type"]):
+            rows = []
+            for at, folders, names in os.walk(folder):
+                top = at == folder
+                rows += [(type_name, os.path.join(at, n), n, "note" if top else "nested") for n in names if n.endswith(".md")]
+                if top:
+                    rows += [(type_name, os.path.join(at, n), n, "odd") for n in [*folders, *(n for n in names if not n.endswith(".md"))]]
+                while len(rows) >= 10_000:
+                    yield pd.DataFrame(rows[:10_000], columns=columns)
+                    rows = rows[10_000:]
+            yield pd.DataFrame(rows, columns=columns)
+
+
+def entries(spark: SparkSession, layout: Layout, types: list[str] | None = None, every_folder: bool = False) -> DataFrame:
+    """ENTRIES of the types' folders (every_folder: also of those that are no types). Only notes directly inside are records."""
     ship(spark)
-    rows = [(p, t) for p, t in layout.notes if types is None or t in types]
-    files = spark.createDataFrame(rows, "path string, type string")
-    parts = max(1, min(len(rows) // 500 + 1, 4 * spark.sparkContext.defaultParallelism))
-    return files.repartition(parts).mapInPandas(_read, CELLS)
+    top = os.path.join(layout.root, layout.data)
+    names = [t for t in layout.types if types is None or t in types]
+    if every_folder and os.path.isdir(top):
+        names = sorted(e.name for e in os.scandir(top) if e.is_dir())
+    folders = spark.createDataFrame([(os.path.join(top, t), t) for t in names], "folder string, type string")
+    return folders.repartition(max(1, len(names))).mapInPandas(_list, ENTRIES)
+
+
+#: Notes that a task opens, about.
+NOTES_A_TASK = 2_000
+
+
+def scan(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The cells of the notes among entries(); spread over tasks by their number, whatever folder they are in."""
+    notes = files.where("kind = 'note'")
+    n = notes.count()
+    parts = max(1, min(n, max(n // NOTES_A_TASK, spark.sparkContext.defaultParallelism)))
+    return notes.select("path", "type").repartition(parts).mapInPandas(_read, CELLS)
 
 
 def parse_binary(files: DataFrame) -> DataFrame:
@@ -155,8 +177,7 @@ def parse_binary(files: DataFrame) -> DataFrame:
 
 def fingerprint(spark: SparkSession, root: str, data: str = "data", bases: str = "bases") -> str:
     """Equal when the notes (also nested ones) and base files under root have equal paths and contents."""
-    top = [os.path.join(d, n) for part, end in ((data, ".md"), (bases, ".base")) for d, _, names in os.walk(os.path.join(root, part)) for n in names if n.endswith(end)]
-    ship(spark)
+    layout = list_folder(root, data, bases)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,7 +187,9 @@ def fingerprint(spark: SparkSession, root: str, data: str = "data", bases: str =
                     sums.append(hashlib.sha256(os.path.relpath(path, root).encode() + b"\0" + f.read()).hexdigest())
             yield pd.DataFrame({"digest": sums})
 
-    files = spark.createDataFrame([(p,) for p in top], "path string").mapInPandas(digest, "digest string")
+    notes = entries(spark, layout, every_folder=True).where("kind <> 'odd'").select("path")
+    other = spark.createDataFrame([(p,) for p in (layout.base_files or {}).values()], "path string")
+    files = notes.unionByName(other).repartition(spark.sparkContext.defaultParallelism).mapInPandas(digest, "digest string")
     # In groups of the first two digits, so that no task holds all digests.
     groups = files.groupBy(F.substring("digest", 1, 2).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("digest")), ""), 256).alias("d"))
     return groups.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ""), 256).alias("d")).first()[0]

@@ -200,3 +200,20 @@ def test_stream(spark, tmp_path):
     events = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, m), "a", 1.0) for m in (1, 2, 7)], "ts timestamp, kind string, v double")
     out = windowed(events, "ts", "5 minutes", "1 minute", ["kind"], n=F.count("*"), total=F.sum("v"))
     assert values(out, "kind", "n", "total") == [("a", 1, 1.0), ("a", 2, 2.0)]
+
+
+@pytest.mark.parametrize(
+    "values,kind",
+    [([True, False], "boolean"), ([0, 1, 2], "integer"), ([1.0, 2], "number"), ([True, 1], "unknown"), (["2024-01-01"], "string"), ([dt.date(2024, 1, 1)], "date"), ([dt.datetime(2024, 1, 1)], "datetime"), ([dt.date(2024, 1, 1), dt.datetime(2024, 1, 1)], "unknown"), (["[[A/b]]"], "link"),
+     (["[[A/b]]", "x"], "string"), ([["[[A/b]]"]], "list[link]"), ([["[[A/b]]", "x"]], "list[mixed]"), ([[1, 2], [3]], "list[integer]"), ([[1.0, 2.5], [3]], "list[number]"), ([["a", 1]], "list[string]"), ([[], ["a"]], "list[string]"), ([None, "", []], "unknown"), ([], "unknown"), ([["a"], "a"], "unknown"), ([{"a": 1}], "unknown"), ([[None, ""]], "list[string]")],
+)
+def test_inference(spark, values, kind):
+    from notelake import of_values
+
+    assert of_values(spark, values)[0].value == kind
+
+
+def test_link_targets(spark):
+    from notelake import of_values
+
+    assert of_values(spark, ["[[A/x]]", "[[data/A/y|z]]"])[1] == "A" and of_values(spark, ["[[A/x]]", "[[B/y]]"])[1] is None and of_values(spark, ["[[x]]"])[1] is None and of_values(spark, [["[[A/x]]"], ["[[A/y]]"]])[1] == "A"
