@@ -56,7 +56,7 @@ def levels(bottom: DataFrame, deepest: int) -> list[DataFrame]:
     return out
 
 
-def changes(current: DataFrame, saved: DataFrame, deepest: int = 3) -> DataFrame:
+def changes(current: DataFrame, saved: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """(tree, key, change, content, before): what differs between the entries of trees of the same name.
 
     current, saved: (tree, key, content), a key at most once in a tree. change: added, changed or removed. A null

@@ -197,7 +197,7 @@ def durations(v: Value) -> Column:
 
 def _shift(a: Value, d: Value, sign: int) -> Value:
     if a.kind == "date":
-        return DATE.of(F.date_add(a.col, (F.floor(F.lit(sign) * d.col / DAY)).cast("int")))
+        return DATE.of(F.date_add(a.col, (F.floor(F.lit(sign) * d.col / DAY)).try_cast("int")))
     return DATETIME.of((a.col.cast("timestamp") + F.make_dt_interval(secs=(F.lit(sign) * d.col / 1_000_000).cast("decimal(18,6)"))).cast("timestamp_ntz"))
 
 
@@ -247,7 +247,7 @@ def multiply(a: Value, b: Value) -> Value:
         return _arith(x, y, lambda p, q: p * q, F.try_multiply)
     for p, q in ((a, y), (b, x)):
         if p.kind == "str" and q and q.kind == "int":
-            return STR.of(F.repeat(p.col, q.col.cast("int")))
+            return STR.of(F.repeat(p.col, q.col.try_cast("int")))
     return null()
 
 
@@ -330,7 +330,7 @@ def index(v: Value, i: Value) -> Value:
     n = number(i)
     if not n:
         return null()
-    at = n.col.cast("bigint").cast("int")
+    at = n.col.try_cast("bigint").try_cast("int")
     at = F.when(at < 0, at).otherwise(at + 1)
     if v.kind == "list":
         return v.item.of(F.try_element_at(v.col, at))

@@ -76,7 +76,7 @@ def cut(c, v: Value, start: Value | None = None, stop: Value | None = None) -> V
     if v.kind not in ("str", "list"):
         return null()
     size = F.char_length(v.col) if v.kind == "str" else F.size(v.col)
-    bound = lambda x, default: default if x is None or x.kind == "null" else F.greatest(F.lit(0), F.least(size, F.when(x.col < 0, x.col + size).otherwise(x.col))).cast("int")
+    bound = lambda x, default: default if x is None or x.kind == "null" else F.greatest(F.lit(0), F.least(size, F.when(x.col < 0, x.col + size).otherwise(x.col))).try_cast("int")
     a, b = bound(start, F.lit(0)), bound(stop, size)
     length = F.greatest(b - a, F.lit(0))
     return v.of(F.substring(v.col, a + 1, length) if v.kind == "str" else F.slice(v.col, a + 1, length))
@@ -100,7 +100,7 @@ def zfill(c, v: Value, n: Value | None = None) -> Value:
         return null()
     sign = F.regexp_extract(v.col, "^[+-]", 0)
     body = F.substring(v.col, F.char_length(sign) + 1, F.char_length(v.col))
-    width = (n.col.cast("int") - F.char_length(v.col))
+    width = (n.col.try_cast("int") - F.char_length(v.col))
     return STR.of(F.concat(sign, F.repeat(F.lit("0"), F.greatest(width, F.lit(0))), body))
 
 
@@ -121,7 +121,7 @@ def rounded(c, v: Value, n: Value | None = None) -> Value:
     if not x:
         return null()
     if n is None or n.kind == "null":
-        return INT.of(x.col if x.kind == "int" else F.bround(x.col).cast("bigint"))
+        return INT.of(x.col if x.kind == "int" else F.bround(x.col).try_cast("bigint"))
     digits = int(_literal(n, 0))
     if x.kind == "int":
         return x if digits >= 0 else INT.of(F.bround(x.col, digits))
@@ -358,8 +358,8 @@ METHODS = {
     "endsWith": _affix("endswith"),
     "abs": _of_number(F.abs),
     "round": rounded,
-    "ceil": _of_number(lambda x: F.ceil(x).cast("bigint"), INT),
-    "floor": _of_number(lambda x: F.floor(x).cast("bigint"), INT),
+    "ceil": _of_number(lambda x: F.ceil(x).try_cast("bigint"), INT),
+    "floor": _of_number(lambda x: F.floor(x).try_cast("bigint"), INT),
     "toFixed": to_fixed,
     "sort": sort,
     "unique": unique,

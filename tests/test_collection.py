@@ -120,6 +120,24 @@ def test_navigation(paired):
     assert {r["Keys"] for r in c.tables["People"].where("_record in ('Ada', 'Bo')").collect()} == {True}
 
 
+def test_file_namespace(spark, harbour):
+    c = Collection.from_folder(spark, f"{FIXTURES}/harbour", now=NOW)
+    out = {
+        "a": "file.basename + file.ext", "b": "file.folder", "c": "file.size > 0", "d": "file.mtime.year > 2000 && file.ctime.year > 2000", "e": "this.file.name + '/' + this.file.folder", "f": "file.hasProperty('full_text')", "g": "file.properties.Crew", "h": "file.properties.keys().contains('Crew')",
+        "i": "file.hasTag('x')", "j": "file.links.length", "k": "file.hasLink('People/Ada')", "l": "file.asLink('me')", "m": "file.path.endsWith('data/Ships/' + file.name + '.md')", "n": "file.file.name", "o": "Owners.map(value.asFile())", "p": "Owners[0].asFile()", "q": "file('[[People/Ada]]').name", "r": "Owners.map(value.asFile().tags.length)",
+    }
+    c.add_formulas("Ships", out)
+    assert not [k for k in c.faults if k[1] in out]
+    row = {r["_record"]: r for r in c.tables["Ships"].collect()}["Aurora"]
+    assert [row[k] for k in out] == ["Aurora.md", "Ships", True, True, "Ships/bases", True, 12, True, False, 2, True, "[[Aurora|me]]", True, "Aurora", ["[[People/Ada]]", "[[People/Bo]]"], "[[People/Ada]]", "Ada", [0, 0]]
+
+
+def test_tags(spark):
+    df = spark.createDataFrame([("a", ["x", "y"]), ("b", None)], "k string, tags array<string>")
+    c = Collection.from_tables({"T": (df, "k")}, now=NOW).add_formulas("T", {"x": "file.hasTag('z', 'x')", "n": "file.tags.length"})
+    assert values(c.tables["T"], "_record", "x", "n") == [("a", True, 2), ("b", False, None)]
+
+
 def test_promotion(spark):
     people = spark.createDataFrame([("t", None), ("a", "t"), ("b", "t")], "k string, teacher string")
     other = spark.createDataFrame([("t", ["a"]), ("x", ["a"])], "k string, students array<string>")
