@@ -13,13 +13,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import links
 from ..model import LIST_TYPES
-from ..session import ship
-from ..sources.markdown import BODY
+from ..session import ship, written
+from ..sources.markdown import BODY, split_note
 
 #: Fixed value: characters that a note's name can't have.
 FORBIDDEN = re.compile(r"[\[\]:\\/^|#]")
@@ -248,13 +249,76 @@ class Writer:
                         if path not in out:
                             with open(path, encoding="utf-8", newline="") as f:
                                 out[path] = f.read()
-                        front = out[path].split("---", 2)[1] if out[path].startswith("---") else ""
-                        there = (yaml.safe_load(front) or {}).get(other_field)
-                        listed = list(there) if isinstance(there, list) else [] if there is None else [there]
-                        if not any((links.parse(x) or (None, None))[1] == name for x in listed if isinstance(x, str)):
-                            out[path] = with_property(out[path], other_field, [*listed, f"[[{type_name}/{name}]]"])
+                        there = (yaml.safe_load(split_note(out[path])[0]) or {}).get(other_field)
+                        merged = with_links(there, [f"[[{type_name}/{name}]]"])
+                        if merged != there:
+                            out[path] = with_property(out[path], other_field, merged)
         return out
 
+    def add_table(self, type_name: str, table: DataFrame, *, filename_col: str, allow_new_properties: bool = True, on_invalid: str = "error", on_collision: str = "error", on_missing_filename: str = "error") -> DataFrame:
+        """add_records() for a DataFrame of any size: checked, named and written by the executors.
+
+        Gives the receipts (idx, filename, status, warnings) as a table. A taken name's suffix is above those that are in
+        use, where add_records() takes the first free one.
+        """
+        self._begin()
+        if type_name not in self.owner.schema.types:
+            raise KeyError(type_name)
+        rows = written(table.withColumn("__idx", F.monotonically_increasing_id()), "batch")
+        raw = F.col(f"`{filename_col}`").cast("string")
+        named = rows.select(F.col("__idx").alias("idx"), raw.alias("raw"), sanitized(raw).alias("name"))
+        lacks, odd = F.coalesce(F.trim("raw") == "", F.lit(True)), F.col("name") != F.col("raw")
+        verdict = F.when(lacks, "skipped" if on_missing_filename == "skip" else "missing filename")
+        if on_invalid != "sanitize":
+            verdict = F.when(~lacks & odd, "skipped" if on_invalid == "skip" else "invalid filename").otherwise(verdict)
+        judged = written(named.withColumn("status", verdict).withColumn("odd", ~lacks & odd), "named")
+        taken = self.owner.files[type_name].select(F.col("_record").alias("name"))
+        fine = judged.where("status is null").select("idx", "name")
+        given = suffixed(fine, taken)
+        clash = F.col("filename") != F.col("name")
+        said = F.when(clash, {"suffix": "written", "skip": "skipped"}.get(on_collision, "name is taken")).otherwise("written")
+        strange = [c for c in table.columns if c not in (filename_col, BODY) and c not in self.owner.schema.types[type_name]]
+        notes = F.array_compact(F.array(F.when(F.col("odd"), "filename_sanitized"), F.when(clash & F.lit(on_collision == "suffix"), "filename_suffixed"), F.lit(("new_properties" if allow_new_properties else "dropped_properties") if strange else None)))
+        receipts = judged.join(given.select("idx", "filename"), "idx", "left").select("idx", "filename", F.coalesce("status", said).alias("status"), notes.alias("warnings"))
+        receipts = written(receipts, "receipts")
+        bad = receipts.where("status not in ('written', 'skipped')")
+        if not bad.isEmpty():
+            raise ValueError(f"nothing was written: {bad.count()} rows, as " + "; ".join(f"{r['status']} ({r['filename']})" for r in bad.take(5)))
+        columns = [c for c in table.columns if c != filename_col and (allow_new_properties or c not in strange)]
+        new = rows.join(receipts.where("status = 'written'").select(F.col("idx").alias("__idx"), F.col("filename").alias("__file")), "__idx").drop("__idx", filename_col)
+        ship(self.owner.spark)
+        new.mapInArrow(_noted(self._folder(type_name), columns), "path string").count()
+        for a, b in self.owner.pairs:
+            for own, other in ((a, b), (b, a)):
+                (own_type, field), (other_type, other_field) = own.split(".", 1), other.split(".", 1)
+                if own_type != type_name or field not in columns:
+                    continue
+                kind = dict(table.dtypes)[field]
+                each = new.select("__file", F.explode(F.col(f"`{field}`") if kind.startswith("array") else F.array(f"`{field}`")).alias("raw"))
+                targets = each.select(links.link_name(F.col("raw").cast("string")).alias("name"), links.as_link(F.lit(type_name), F.col("__file")).alias("link")).where("name is not null")
+                known = self.owner.files[other_type].select(F.col("_record").alias("name"), "path")
+                back = targets.join(known, "name").groupBy("path").agg(F.collect_set("link").alias("value"))  # a note is rewritten as a whole, by one task
+                back.mapInArrow(_patched(other_field, True), "path string").count()
+        self.owner.reload()
+        return receipts
+
+    def add_column_table(self, type_name: str, table: DataFrame, *, property_name: str, on_existing: str = "error", on_missing: str = "error") -> DataFrame:
+        """add_column() for a DataFrame (record, value) of any size; receipts (filename, status) as a table. Of several values of a record the least counts."""
+        self._begin()
+        record, value = table.columns[:2]
+        given = table.groupBy(F.col(f"`{record}`").cast("string").alias("record")).agg(F.min(F.struct(F.col(f"`{value}`").alias("v"))).alias("g"))
+        files = self.owner.files[type_name].select(F.col("_record").alias("record"), "path", F.coalesce(F.array_contains("present", property_name), F.lit(False)).alias("there"))
+        both = written(files.join(given, "record", "full"), "column")
+        faults = F.when(F.col("path").isNull(), "no such record").when(F.col("g").isNull() & F.lit(on_missing == "error"), "no value").when(F.col("g").isNotNull() & F.col("there") & F.lit(on_existing == "error"), "there already")
+        bad = both.where(faults.isNotNull())
+        if not bad.isEmpty():
+            raise ValueError(f"nothing was written: {bad.count()} records, as " + "; ".join(str(r["record"]) for r in bad.take(5)))
+        skip = (F.col("there") & (F.col("g").isNull() | F.lit(on_existing == "skip"))) | (F.col("g").isNull() & F.lit(on_missing == "skip"))
+        ship(self.owner.spark)
+        both.where(~skip).select("path", F.col("g.v").alias("value")).mapInArrow(_patched(property_name, False), "path string").count()
+        self.owner.reload()
+        return both.select(F.col("record").alias("filename"), F.when(skip, "skipped").otherwise("written").alias("status"))
+
     def add_column(self, type_name: str, column, *, property_name: str, on_existing: str = "error", on_missing: str = "error") -> list[Receipt]:
         """Set a property in the notes of a type; receipts by record. on_existing: error, skip or overwrite; on_missing (no value for a record): error, skip or default (an empty list for list fields, else a bare key)."""
         self._begin()
@@ -302,6 +366,56 @@ class Writer:
         return [r for r, _, _ in prepared]
 
 
+def _noted(folder: str, columns: list[str]):
+    """Writes rows (__file and columns) as notes of a folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, contents = [], []
+            for row in batch.to_pylist():
+                fields = {c: normal(row[c]) for c in columns if c != BODY}
+                paths.append(f"{folder}/{row['__file']}.md")
+                contents.append(note(fields, row.get(BODY) if BODY in columns else None))
+            for done in save_files(iter([pd.DataFrame({"path": paths, "content": contents})])):
+                yield pa.RecordBatch.from_pandas(done, preserve_index=False)
+
+    return run
+
+
+def _patched(property_name: str, append: bool):
+    """Sets a property of notes (path, value); append: adds to what is there the links to records that it doesn't name yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import yaml
+
+        for batch in batches:
+            paths, contents = [], []
+            for row in batch.to_pylist():
+                with open(row["path"], encoding="utf-8", newline="") as f:
+                    content = f.read()
+                value = normal(row["value"])
+                if append:
+                    there = (yaml.safe_load(split_note(content)[0]) or {}).get(property_name)
+                    value = with_links(there, value or [])
+                paths.append(row["path"])
+                contents.append(with_property(content, property_name, value))
+            for done in save_files(iter([pd.DataFrame({"path": paths, "content": contents})])):
+                yield pa.RecordBatch.from_pandas(done, preserve_index=False)
+
+    return run
+
+
+def with_links(there: object, new: list[str]) -> list:
+    """What a field holds, as a list, and those of the new links that name other records."""
+    out = list(there) if isinstance(there, list) else [] if there is None else [there]
+    names = {found[1] for x in out if isinstance(x, str) and (found := links.parse(x))}
+    for link in sorted(new):
+        if links.parse(link)[1] not in names:
+            out.append(link)
+            names.add(links.parse(link)[1])
+    return out
+
+
 def sanitized(c):
     """clean_name() as a column, the composed form made only where a name isn't plain ASCII."""
     from ..functions.python_text import nfc
