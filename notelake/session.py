@@ -46,7 +46,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/notelake-{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
