@@ -198,7 +198,7 @@ def durations(v: Value) -> Column:
 def _shift(a: Value, d: Value, sign: int) -> Value:
     if a.kind == "date":
         return DATE.of(F.date_add(a.col, (F.floor(F.lit(sign) * d.col / DAY)).try_cast("int")))
-    return DATETIME.of((a.col.cast("timestamp") + F.make_dt_interval(secs=(F.lit(sign) * d.col / 1_000_000).cast("decimal(18,6)"))).cast("timestamp_ntz"))
+    return DATETIME.of(a.col + F.make_dt_interval(secs=(F.lit(sign) * d.col / 1_000_000).cast("decimal(18,6)")))
 
 
 def add(a: Value, b: Value) -> Value:
@@ -218,8 +218,13 @@ def add(a: Value, b: Value) -> Value:
     return null()
 
 
-def _micros(v: Value) -> Column:
-    return F.unix_micros(v.col.cast("timestamp"))
+def micros(v: Value) -> Column:
+    """Microseconds of a date or date-time since 1970 by its own clock, whatever the session's time zone."""
+    days = F.unix_date(v.col.cast("date")).cast("bigint") * DAY
+    if v.kind == "date":
+        return days
+    second = (F.date_part(F.lit("SECOND"), v.col).cast("decimal(8,6)") * 1_000_000).cast("bigint")
+    return days + (F.hour(v.col) * 3_600 + F.minute(v.col) * 60).cast("bigint") * 1_000_000 + second
 
 
 def subtract(a: Value, b: Value) -> Value:
@@ -227,7 +232,7 @@ def subtract(a: Value, b: Value) -> Value:
     if x and y:
         return _arith(x, y, lambda p, q: p - q, F.try_subtract)
     if a.kind == b.kind and a.kind in ("date", "datetime"):
-        return FLOAT.of((_micros(a) - _micros(b)) / 1000)
+        return FLOAT.of((micros(a) - micros(b)) / 1000)
     if a.kind in ("date", "datetime") and (d := duration_of(b)):
         return _shift(a, d, -1)
     if a.kind == b.kind == "duration":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import re
 
 from pyspark.sql import Column
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ...functions import links
 from ...functions.python_text import exact_round, fixed, title
-from .compiler import BOOL, DATE, DATETIME, FLOAT, INT, STR, Value, add, as_list, durations, null, number, spark_type, text, truthy, unify
+from .compiler import BOOL, DATE, DATETIME, FLOAT, INT, STR, Value, add, as_list, durations, micros, null, number, spark_type, text, truthy, unify
 
 SPACE = r"[\s\x1c-\x1f\x85]"
 
@@ -253,7 +254,7 @@ def relative(c, v: Value, *_) -> Value:
     """How long ago or ahead of the frozen clock: minutes, hours or days."""
     if v.kind not in ("date", "datetime"):
         return null()
-    seconds = F.floor((F.lit(int(c.env.now.timestamp() * 1e6) if c.env.now.tzinfo else _epoch(c.env.now)) - F.unix_micros(v.col.cast("timestamp"))) / 1_000_000)
+    seconds = F.floor((F.lit(_epoch(c.env.now)) - micros(v)) / 1_000_000)
     size = F.abs(seconds)
     said = F.lit(None).cast("string")
     for unit, length in (("minute", 60), ("hour", 3_600), ("day", 86_400)):
@@ -264,8 +265,6 @@ def relative(c, v: Value, *_) -> Value:
 
 
 def _epoch(moment) -> int:
-    import calendar
-
     return calendar.timegm(moment.timetuple()) * 1_000_000 + moment.microsecond
 
 
@@ -413,7 +412,7 @@ def to_number(c, v: Value | None = None) -> Value:
     if v.kind == "float":
         return v
     if v.kind in ("date", "datetime"):
-        return FLOAT.of(F.unix_micros(v.col.cast("timestamp")) / 1000)
+        return FLOAT.of(micros(v) / 1000)
     if v.kind == "str":
         return FLOAT.of(F.when(F.trim(v.col).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(v.col).try_cast("double")))
     return null()

@@ -96,3 +96,17 @@ def test_arithmetic_like_python(spark, pairs):
             assert (x is None) == (want is None) and (want is None or math.isclose(x, want, rel_tol=1e-9, abs_tol=1e-9))
         none = a is None or b is None
         assert list(r)[5:] == [not none and a < b, a == b, a != b, not none and a >= b]
+
+
+def test_time_zone_of_the_session_does_not_matter(spark):
+    texts = ["now() - ts", "ts + '5h'", "ts.relative()", "number(ts)", "ts - d"]
+    seen = []
+    for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            df = spark.sql("select date'2021-03-14' d, timestamp_ntz'2021-03-14 02:30:00.25' ts")
+            e = expr.Env({"d": DATE.of(F.col("d")), "ts": DATETIME.of(F.col("ts"))}, now=dt.datetime(2021, 3, 20))
+            seen.append(tuple(df.select(*[expr.translate(t, e).col for t in texts]).first()))
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert seen[0] == seen[1] == seen[2] and seen[0][1] == dt.datetime(2021, 3, 14, 7, 30, 0, 250_000) and seen[0][3] == 1615689000250.0
