@@ -134,6 +134,12 @@ class Graph:
         rel = self.relation_names()
         return {n: {"node": identifier(n), "properties": {f.name: identifier(f.name) for f in ts.fields if f.effective_type not in LINK_TYPES}, "relationships": {f: r for (t, f), r in rel.items() if t == n}} for n, ts in self.owner.schema.types.items()}
 
+    def rdf_names(self, base_uri: str = "http://collection/") -> dict[str, dict]:
+        """By type: the URI of its class, and of its properties and (with a known target) relations."""
+        uri = lambda x: base_uri + slug(x)
+        types = self.owner.schema.types
+        return {n: {"class": uri(n), "properties": {f.name: uri(f.name) for f in ts.fields if f.effective_type not in LINK_TYPES}, "relationships": {f.name: uri(f.name) for f in ts.links() if f.link_target in types}} for n, ts in types.items()}
+
     # -- RDF ---------------------------------------------------------------------------------------------------
 
     def triples(self, base_uri: str = "http://collection/") -> DataFrame:

@@ -31,18 +31,24 @@ def _range_at(level: int) -> Column:
     return F.shiftrightunsigned(F.col("place"), 64 - BITS * level) if level else F.lit(0).cast("long")
 
 
+def _depth(n: Column) -> Column:
+    return F.least(F.greatest(F.ceil(F.log2(n / LEAF) / BITS), F.lit(0)), F.lit(DEEPEST)).cast("int")
+
+
 def with_depth(entries: DataFrame) -> DataFrame:
     """entries (tree, side, key, content) with the place of each key and the depth of its tree, which the larger side sets."""
     sizes = entries.groupBy("tree", "side").count().groupBy("tree").agg(F.max("count").alias("n"))
-    depth = F.least(F.greatest(F.ceil(F.log2(F.col("n") / LEAF) / BITS), F.lit(0)), F.lit(DEEPEST)).cast("int")
-    return entries.join(sizes.select("tree", depth.alias("depth")), "tree").withColumn("place", F.xxhash64("key"))
+    return entries.join(sizes.select("tree", _depth(F.col("n")).alias("depth")), "tree").withColumn("place", F.xxhash64("key"))
+
+
+def _leaf(deepest: int) -> Column:
+    return F.coalesce(*[F.when(F.col("depth") == d, _range_at(d)) for d in range(deepest + 1)])
 
 
 def leaves(entries: DataFrame, deepest: int) -> DataFrame:
     """(tree, side, depth, node, digest): an order-free digest over a leaf's entries."""
-    node = F.coalesce(*[F.when(F.col("depth") == d, _range_at(d)) for d in range(deepest + 1)])
     one, two = F.xxhash64("key", "content"), F.xxhash64("content", F.lit("#"), "key")
-    return entries.groupBy("tree", "side", "depth", node.alias("node")).agg(F.xxhash64(F.bit_xor(one), F.bit_xor(two), F.count("*")).alias("digest"))
+    return entries.groupBy("tree", "side", "depth", _leaf(deepest).alias("node")).agg(F.xxhash64(F.bit_xor(one), F.bit_xor(two), F.count("*")).alias("digest"))
 
 
 def levels(bottom: DataFrame, deepest: int) -> list[DataFrame]:
@@ -56,17 +62,8 @@ def levels(bottom: DataFrame, deepest: int) -> list[DataFrame]:
     return out
 
 
-def changes(current: DataFrame, saved: DataFrame, deepest: int = DEEPEST) -> DataFrame:
-    """(tree, key, change, content, before): what differs between the entries of trees of the same name.
-
-    current, saved: (tree, key, content), a key at most once in a tree. change: added, changed or removed. A null
-    content equals a null content. deepest: levels below the root at most; a leaf is then larger, never left out.
-    """
-    fields = ["tree", "key", "content"]
-    sides = current.select(*fields).withColumn("side", F.lit("c")).unionByName(saved.select(*fields).withColumn("side", F.lit("s")))
-    entries = written(with_depth(sides).withColumn("depth", F.least("depth", F.lit(deepest))), "entries")
-    deepest = entries.agg(F.max("depth")).first()[0] or 0
-    bottom = written(leaves(entries, deepest), "leaves")
+def differing(bottom: DataFrame, deepest: int) -> DataFrame:
+    """(tree, node, depth): the leaves whose digests differ between the sides, found from the root downwards."""
     nodes = [n.withColumn("level", F.lit(level)) for level, n in enumerate(levels(bottom, deepest))]
     forest = written(reduce(DataFrame.unionByName, nodes), "nodes")
     done: list[DataFrame] = []
@@ -78,15 +75,31 @@ def changes(current: DataFrame, saved: DataFrame, deepest: int = DEEPEST) -> Dat
         c = F.max(F.when(F.col("side") == "c", F.col("digest")))
         s = F.max(F.when(F.col("side") == "s", F.col("digest")))
         done.append(own.groupBy("tree", "node").agg(c.alias("c"), s.alias("s")).where(~F.col("c").eqNullSafe(F.col("s"))).select("tree", "node", F.lit(level).alias("depth")))
-    differing = reduce(DataFrame.unionByName, done)
-    at = F.coalesce(*[F.when(F.col("depth") == d, _range_at(d)) for d in range(deepest + 1)])
-    touched = entries.withColumn("node", at).join(differing, ["tree", "depth", "node"], "left_semi")
+    return reduce(DataFrame.unionByName, done)
+
+
+def compared(touched: DataFrame) -> DataFrame:
+    """(tree, key, change, content, before) of entries of both sides (tree, side, key, content)."""
     of = lambda side: F.max(F.when(F.col("side") == side, F.struct("content")))
     both = touched.groupBy("tree", "key").agg(of("c").alias("c"), of("s").alias("s"))
     kind = F.when(F.col("s").isNull(), "added").when(F.col("c").isNull(), "removed").when(~F.col("c.content").eqNullSafe(F.col("s.content")), "changed")
     return both.withColumn("change", kind).where("change is not null").select("tree", "key", "change", F.col("c.content").alias("content"), F.col("s.content").alias("before"))
 
 
+def changes(current: DataFrame, saved: DataFrame) -> DataFrame:
+    """(tree, key, change, content, before): what differs between the entries of trees of the same name.
+
+    current, saved: (tree, key, content), a key at most once in a tree. change: added, changed or removed. A null
+    content equals a null content.
+    """
+    fields = ["tree", "key", "content"]
+    sides = current.select(*fields).withColumn("side", F.lit("c")).unionByName(saved.select(*fields).withColumn("side", F.lit("s")))
+    entries = written(with_depth(sides), "entries")
+    deepest = entries.agg(F.max("depth")).first()[0] or 0
+    found = differing(written(leaves(entries, deepest), "leaves"), deepest)
+    return compared(entries.withColumn("node", _leaf(deepest)).join(found, ["tree", "depth", "node"], "left_semi"))
+
+
 def replay(scans: DataFrame, scan_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Current and saved entries of each scan that ended well, a tree each, named by its scan_id.
 
@@ -116,30 +129,63 @@ def changed_records(scans: DataFrame, scan_files: DataFrame) -> DataFrame:
 class MerkleStore:
     """Runs over one growing table: each takes only what was added, changed or removed since the last run that was published.
 
-    A run writes its changes and the new state into a folder of its own and publishes both by one manifest. A run that
-    breaks off publishes nothing: the next one finds the same changes again. Nothing is skipped and nothing repeated.
+    The store holds the leaves' digests and, for each leaf, the run that wrote its entries. A run digests the table,
+    descends from the roots to the leaves that differ, reads the saved entries of these leaves only, and writes its
+    output, the entries of these leaves and the new digests into a folder of its own; one manifest publishes them
+    together. A run that breaks off publishes nothing: the next one finds the same changes again. Nothing is skipped
+    and nothing repeated.
     """
 
+    LEAVES = "tree string, depth int, node long, digest long, run string"
+    ENTRIES = "tree string, node long, key string, content string, run string"
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
         self.manifest = Manifest(spark, folder)
 
+    def _read(self, run: str | None, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{run}/{name}") if run else self.spark.createDataFrame([], schema)
+
+    def _entries(self, leaves: DataFrame) -> DataFrame:
+        """The saved entries of leaves, from the runs that wrote them."""
+        runs = [r[0] for r in leaves.select("run").distinct().collect()]  # folders of this store
+        kept = [self._read(r, "entries", self.ENTRIES) for r in runs] or [self._read(None, "", self.ENTRIES)]
+        return reduce(DataFrame.unionByName, kept).join(leaves.select("tree", "node", "run"), ["tree", "node", "run"], "left_semi")
+
     def state(self) -> DataFrame:
         """(tree, key, content) of the last published run."""
         last = self.manifest.read()
-        path = last and f"{self.folder}/{last['run']}/state"
-        return self.spark.read.schema("tree string, key string, content string").parquet(path) if path else self.spark.createDataFrame([], "tree string, key string, content string")
+        return self._entries(self._read(last and last["run"], "leaves", self.LEAVES)).select("tree", "key", "content")
 
     def run(self, records: DataFrame, tree: str, key: str, content: str, process=None) -> DataFrame:
         """The changes against the state, published together with the new state.
 
-        process: makes the run's output from the changes, before anything is published; what it raises ends the run.
+        Rows without key are left out; of several rows of a key the greatest content counts. process: makes the run's
+        output from the changes, before anything is published; what it raises ends the run.
         """
-        at, run = self.manifest.version(), f"run-{uuid.uuid4().hex}"
+        at, last, run = self.manifest.version(), self.manifest.read(), f"run-{uuid.uuid4().hex}"
         text = lambda c: F.col(c).cast("string")
-        current = records.where(F.col(key).isNotNull()).groupBy(text(tree).alias("tree"), text(key).alias("key")).agg(F.max(text(content)).alias("content"))
-        found = changes(current, self.state())
-        (process(found) if process else found).write.parquet(f"{self.folder}/{run}/output")
-        current.write.parquet(f"{self.folder}/{run}/state")
+        saved = self._read(last and last["run"], "leaves", self.LEAVES)
+        rows = records.where(F.col(key).isNotNull()).groupBy(F.coalesce(text(tree), F.lit("")).alias("tree"), text(key).alias("key")).agg(F.max(text(content)).alias("content"))
+        # A tree keeps its depth until its size has left it behind; then it is built anew.
+        known = saved.groupBy("tree").agg(F.max("depth").alias("was"))
+        sizes = rows.groupBy("tree").count().join(known, "tree", "left").withColumn("fits", _depth(F.col("count")))
+        depths = sizes.withColumn("depth", F.when(F.abs(F.col("was") - F.col("fits")) <= 1, F.col("was")).otherwise(F.col("fits")))
+        entries = rows.join(depths.select("tree", "depth", "was"), "tree").withColumn("place", F.xxhash64("key")).withColumn("side", F.lit("c"))
+        entries = written(entries, "entries")
+        rebuilt = entries.where("was is not null and was <> depth").select("tree").distinct()
+        deepest = max(entries.agg(F.max("depth")).first()[0] or 0, saved.agg(F.max("depth")).first()[0] or 0)
+        now = written(leaves(entries, deepest), "leaves")
+        old = saved.join(rebuilt, "tree", "left_anti").select("tree", F.lit("s").alias("side"), "depth", "node", "digest")
+        found = written(differing(now.unionByName(old), deepest), "differing")
+        at_leaf = ["tree", "depth", "node"]
+        touched = entries.withColumn("node", _leaf(deepest)).join(found, at_leaf, "left_semi")
+        replaced = written(saved.join(found, at_leaf, "left_semi").unionByName(saved.join(rebuilt, "tree", "left_semi")), "replaced")
+        fields = ["tree", "side", "key", "content"]
+        difference = compared(touched.select(*fields).unionByName(self._entries(replaced).withColumn("side", F.lit("s")).select(*fields)))
+        (process(difference) if process else difference).write.parquet(f"{self.folder}/{run}/output")
+        touched.select("tree", "node", "key", "content", F.lit(run).alias("run")).sortWithinPartitions("tree", "node").write.parquet(f"{self.folder}/{run}/entries")
+        kept = saved.join(replaced.select(*at_leaf), at_leaf, "left_anti")
+        kept.unionByName(now.join(found, at_leaf, "left_semi").select(*at_leaf, "digest", F.lit(run).alias("run"))).write.parquet(f"{self.folder}/{run}/leaves")
         self.manifest.publish({"run": run}, at)
         return self.spark.read.parquet(f"{self.folder}/{run}/output")

@@ -89,7 +89,7 @@ def misfits(cells: DataFrame, schema_fields: DataFrame) -> DataFrame:
     return own.where(~blank(F.col("cell_value")) & ~fits(F.col("cell_value"), F.col("field_type"))).select("record_id", "field_name")
 
 
-def _column(wide: DataFrame, type_name: str, slots: Slots, extra: list[Column]) -> DataFrame:
+def _typed_columns(wide: DataFrame, type_name: str, slots: Slots, extra: list[Column]) -> DataFrame:
     taken: dict[str, int] = {c: 1 for c in ("record_id", "vault_id", "name")}
     cols = []
     for i, (field, kind) in enumerate(slots.fields[type_name]):
@@ -111,7 +111,7 @@ def wide_table(cells: DataFrame, schema_fields: DataFrame, records: DataFrame, t
     slots = Slots(schema_fields)
     wide = latest(cells.where(F.col("type_name") == type_name), slots)
     names = records.where(F.col("type_name") == type_name).groupBy("record_id").agg(F.max(F.struct("loaded_at", "name")).alias("r"))
-    return _column(wide.join(names, "record_id", "left"), type_name, slots, [F.col("r.name").alias("name")])
+    return _typed_columns(wide.join(names, "record_id", "left"), type_name, slots, [F.col("r.name").alias("name")])
 
 
 class WideStore:

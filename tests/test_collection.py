@@ -162,7 +162,8 @@ def test_graph(paired, tmp_path):
 
     assert len(ET.parse(f"{tmp_path}/g.graphml").getroot().findall(".//{*}node")) == g.nodes().count() and len(ET.parse(f"{tmp_path}/g.gexf").getroot().findall(".//{*}edge")) == 5
     assert g.names()["Ships"]["relationships"] == {"Owners": "Owners"}
-    assert g.cypher_tables()[1]["Owners"].count() == 3
+    assert g.cypher_tables()[1]["Owners"].count() == 3 and g.rdf_names()["Ships"]["relationships"] == {"Owners": "http://collection/Owners"}
+    assert {r["id"]: r["attrs"].get("Ports") for r in g.flattened().collect()}["Aurora|Ships"] == "Kiel, Oslo"
 
 
 def test_write(spark, tmp_path):

@@ -84,6 +84,28 @@ def test_store_survives_failures(spark, tmp_path):
         store.manifest.publish({"run": "y"}, at)
 
 
+@SLOW
+@given(st.lists(st.dictionaries(st.tuples(st.sampled_from("uv"), st.integers(0, 400)), st.sampled_from([None, "1", "2"]), max_size=250), min_size=2, max_size=3))
+def test_store_follows_the_table(spark, tmp_path_factory, versions):
+    store, held = incremental.MerkleStore(spark, str(tmp_path_factory.mktemp("merkle"))), {}
+    for version in versions:
+        now = {(t, f"k{k}"): c for (t, k), c in version.items()}
+        df = spark.createDataFrame([(*k, c) for k, c in now.items()], "vault string, path string, hash string")
+        want = {(*k, "added" if k not in held else "removed" if k not in now else "changed") for k in held.keys() | now.keys() if (k in held) != (k in now) or held[k] != now[k]}
+        assert set(tuples(store.run(df, "vault", "path", "hash"), "tree", "key", "change")) == want
+        assert {(t, k): c for t, k, c in tuples(store.state(), "tree", "key", "content")} == now
+        held = now
+
+
+def test_store_reads_and_writes_changed_leaves_only(spark, tmp_path):
+    store = incremental.MerkleStore(spark, str(tmp_path))
+    make = lambda changed: spark.createDataFrame([("t", f"k{i}", "new" if i in changed else "v") for i in range(5_000)], "vault string, path string, hash string")
+    store.run(make(()), "vault", "path", "hash")
+    assert store.run(make((17,)), "vault", "path", "hash").count() == 1
+    last = store.manifest.read()["run"]
+    assert spark.read.parquet(f"{tmp_path}/{last}/entries").count() < 100 and store.state().count() == 5_000
+
+
 # -- drift -----------------------------------------------------------------------------------------------------
 
 RAW = "raw_id long, vault_id long, type_name string, file_id long, file_no int, name string, fields string, exported_at timestamp, arrived_at timestamp"
