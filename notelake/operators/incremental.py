@@ -114,10 +114,11 @@ def replay(scans: DataFrame, scan_files: DataFrame) -> tuple[DataFrame, DataFram
     known = numbered.select("scan_id", "seq", "next", ok.alias("ok"))
     rows = scan_files.where("path is not null and scan_id is not null").select("scan_id", "path", "content_hash", "done", "listed_at", "row_id").join(known, "scan_id")
     version = F.struct("listed_at", "row_id", "content_hash")
-    listed = rows.groupBy("scan_id", "seq", "next", "ok", "path").agg(F.max(version).alias("v"), F.max(F.coalesce("done", F.lit(False))).alias("done"))
-    current = listed.where("ok").select(F.col("scan_id").alias("tree"), F.col("path").alias("key"), F.col("v.content_hash").alias("content"))
+    listed = rows.groupBy("scan_id", "path").agg(F.max(version).alias("v"), F.max(F.coalesce("done", F.lit(False))).alias("done"), *[F.first(c).alias(c) for c in ("seq", "next", "ok")])
+    listed = written(listed.select("scan_id", "path", "v.content_hash", "done", "seq", "next", "ok"), "listed")
+    current = listed.where("ok").select(F.col("scan_id").alias("tree"), F.col("path").alias("key"), F.col("content_hash").alias("content"))
     kept = listed.where("(ok or done) and next is not null")
-    saved = kept.groupBy(F.col("next").alias("tree"), F.col("path").alias("key")).agg(F.max(F.struct("seq", "v.content_hash")).alias("x")).select("tree", "key", F.col("x.content_hash").alias("content"))
+    saved = kept.groupBy(F.col("next").alias("tree"), F.col("path").alias("key")).agg(F.max(F.struct("seq", "content_hash")).alias("x")).select("tree", "key", F.col("x.content_hash").alias("content"))
     return current, saved
 
 
