@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.typed import blank, fits
 from ..session import written
-from .pivot import Slots, counting, latest
+from .pivot import Slots, latest_cells
 
 GROUP = ["vault_id", "load_no", "type_name", "field_name"]
 IDS = ["vault_id", "load_no", "field_id"]
@@ -48,7 +48,7 @@ def medians(values: DataFrame, keys: list[str], whole: int = WHOLE) -> DataFrame
 def counted(cells: DataFrame, schema_fields: DataFrame) -> DataFrame:
     """The counting cells, once for each distinct value of a group: IDS, field_type, value, n, empty, valid."""
     slots = Slots(schema_fields)
-    own = counting(latest(cells, slots), slots)
+    own = latest_cells(cells, slots)
     each = own.groupBy(*IDS, F.col("cell_value").alias("value")).agg(F.count("*").alias("n"))
     each = each.join(F.broadcast(slots.table(cells.sparkSession).select("field_id", "field_type")), "field_id")
     return each.withColumn("empty", blank(F.col("value"))).withColumn("valid", ~F.col("empty") & fits(F.col("value"), F.col("field_type")))
