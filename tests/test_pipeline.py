@@ -42,12 +42,12 @@ def replayed(scans, files):
 
 @SLOW
 @given(st.lists(st.tuples(st.sampled_from(["ok", "ok", "failed", None]), st.dictionaries(st.sampled_from("abcdefgh"), st.tuples(st.sampled_from(["1", "2", None]), st.sampled_from([True, False, None])), max_size=8)), min_size=1, max_size=8), st.integers(1, 3))
-def test_changed_records(spark, history, vaults):
+def test_changed_records(spark, history, collections):
     scans, files = [], []
     for i, (status, listing) in enumerate(history):
-        scans.append((100 - i, i % vaults, hours(i), None, status, None))
+        scans.append((100 - i, i % collections, hours(i), None, status, None))
         for j, (p, (h, done)) in enumerate(listing.items()):
-            files += [(i * 100 + j, 100 - i, i % vaults, p, h, None, None, done, None)] * (1 + j % 2)
+            files += [(i * 100 + j, 100 - i, i % collections, p, h, None, None, done, None)] * (1 + j % 2)
     files.append((999, 100, 0, None, "1", 1, None, True, None))
     a = spark.createDataFrame(scans, SCANS).withColumns({"seq": F.lit(0), "next": F.lit("x"), "path": F.lit("clash")})
     b = spark.createDataFrame(files, FILES).withColumns({"tree": F.lit(1), "status": F.lit("ok"), "depth": F.lit(3)})
