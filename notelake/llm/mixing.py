@@ -12,6 +12,9 @@ from .tokens import VOCABULARY, token_count
 STEPS = 5_000
 LOGS = 45.0
 
+#: Texts of a source that may be drawn after its sample, to come nearer to the target.
+TOP_UPS = 3
+
 
 def _mixed(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int, total_tokens: int | None):
     spark = documents.sparkSession
@@ -46,19 +49,40 @@ def _mixed(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int,
     end = spark.createDataFrame(ends, "mix_id int, source string, last long, before long")
     placed = ranked.join(F.broadcast(end), ["mix_id", "source"], "left")
     inside = Window.partitionBy("mix_id", "source").orderBy("key", "text_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where("step = last").withColumn("upto", F.sum("tokens").over(inside) + F.col("before")).withColumn("extra", (F.col("upto") - F.col("tokens") / 2 < F.col("rest")).cast("int"))
+    edge = placed.where("step = last").withColumn("extra", (F.sum("tokens").over(inside) + F.col("before") <= F.col("rest")).cast("int"))
     sure = placed.where("step <> last or last is null").withColumn("extra", F.coalesce((F.col("step") < F.col("last")).cast("int"), F.lit(1)))
-    cols = ["mix_id", "source", "doc_id", "text_id", "tokens", "whole", "max_repeats", "extra"]
-    drawn = sure.select(*cols).unionByName(edge.select(*cols)).select("mix_id", "source", "doc_id", "text_id", "tokens", F.least(F.col("whole") + F.col("extra"), F.col("max_repeats")).alias("copies")).where("copies > 0")
+    cols = ["mix_id", "source", "doc_id", "text_id", "tokens", "whole", "max_repeats", "rest", "key", "extra"]
+    flagged = written(sure.select(*cols).unionByName(edge.select(*cols)), "flagged")
+    more = spark.createDataFrame(_topped_up(flagged), "mix_id int, source string, text_id string, more int")
+    full = flagged.join(F.broadcast(more), ["mix_id", "source", "text_id"], "left")  # at most TOP_UPS for each target
+    copies = F.least(F.col("whole") + F.greatest("extra", F.coalesce("more", F.lit(0))), F.col("max_repeats"))
+    drawn = full.select("mix_id", "source", "doc_id", "text_id", "tokens", copies.alias("copies")).where("copies > 0")
     return drawn, plan
 
 
+def _topped_up(flagged: DataFrame) -> list[tuple]:
+    """The texts beyond the samples that fill what is left of each token target: the largest that fits, a few times over."""
+    gaps = {(r[0], r[1]): r[2] for r in flagged.groupBy("mix_id", "source", "rest").agg(F.sum(F.col("tokens") * F.col("extra")).alias("t")).select("mix_id", "source", F.col("rest") - F.col("t")).collect()}
+    spare, picks = flagged.where("extra = 0 and whole < max_repeats"), []
+    for _ in range(TOP_UPS):
+        room = flagged.sparkSession.createDataFrame([(*k, float(g)) for k, g in gaps.items()], "mix_id int, source string, gap double")
+        known = spare.join(F.broadcast(room), ["mix_id", "source"]).where("tokens <= gap").where(~F.concat_ws("/", "mix_id", "text_id").isin([f"{m}/{t}" for m, _, t, _ in picks]))
+        found = known.groupBy("mix_id", "source").agg(F.max(F.struct("tokens", -F.col("key"), "text_id")).alias("x")).select("mix_id", "source", "x.tokens", "x.text_id").collect()
+        if not found:
+            break
+        for r in found:
+            picks.append((r["mix_id"], r["source"], r["text_id"], 1))
+            gaps[r["mix_id"], r["source"]] -= r["tokens"]
+    return picks
+
+
 def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = 42, total_tokens: int | None = None) -> DataFrame:
     """The drawn texts of each mix: (mix_id, source, doc_id, text_id, tokens, copies).
 
     A mix is as large as its scarcest source allows (or total_tokens, if that is less). Of each source every text
     gets the whole part of want / tokens copies for certain; for the rest texts are drawn in Pareto order
-    (random odds over inclusion odds) until the token target is met to within half a text. Identical texts are one
+    (random odds over inclusion odds) as long as they keep within the token target; what a long text leaves open is filled
+    by up to TOP_UPS of the texts that fit best. Identical texts are one
     text: it counts for the source of its lowest doc_id, so nothing is used more often than max_repeats. Null or
     empty texts, null sources and sources without a target are never drawn; a target without documents reaches 0.
     """
