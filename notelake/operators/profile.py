@@ -7,7 +7,7 @@ ones by a sketch that brackets the median and a sort of the values inside the br
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.typed import blank, fits
@@ -59,9 +59,26 @@ def named(rows: DataFrame, schema_fields: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(Slots(schema_fields).table(rows.sparkSession).select("field_id", "type_name", "field_name")), "field_id").drop("field_id")
 
 
+def ranges() -> list[Column]:
+    """Aggregates: the least and most valid value of a group, compared as what its type says."""
+    v, kind = F.trim("value"), F.col("field_type")
+    as_typed = {
+        "integer": F.when(kind == "integer", v.try_cast("bigint")),
+        "number": F.when(kind == "number", v.try_cast("double")),
+        "time": F.when(kind == "date", v.try_cast("date").cast("timestamp_ntz")).when(kind == "datetime", F.replace(v, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz")),
+        "text": F.when(~kind.isin("integer", "number", "date", "datetime"), F.col("value")),
+    }
+    return [f(F.when(F.col("valid"), x)).alias(f"{side}_{k}") for k, x in as_typed.items() for side, f in (("least", F.min), ("most", F.max))]
+
+
+RANGES = [f"{side}_{k}" for k in ("integer", "number", "time", "text") for side in ("least", "most")]
+
+
 def profile(values: DataFrame, whole: int = WHOLE) -> DataFrame:
-    """A row for each group of counted(): rows, blanks, distinct, invalid, least and most as text, power sums, median and standardised difference.
+    """A row for each group of counted(): rows, blanks, distinct, invalid, ranges, power sums, median and standardised difference.
 
+    least and most compare all non-blank values as text. The typed ranges are over the valid values and null for other types: least_integer
+    and most_integer, least_number and most_number, least_time and most_time (date and datetime), least_text and most_text (all the rest).
     Power sums s1 and s2 are exact decimals over the valid numbers, null beyond 38 digits; shift is the difference of means to the load
     before over the pooled deviation. Text columns have neither.
     """
@@ -75,6 +92,7 @@ def profile(values: DataFrame, whole: int = WHOLE) -> DataFrame:
         F.sum(F.when(~F.col("empty") & ~F.col("valid"), n).otherwise(0)).alias("invalid"),
         F.min(F.when(~F.col("empty"), F.col("value"))).alias("least"),
         F.max(F.when(~F.col("empty"), F.col("value"))).alias("most"),
+        *ranges(),
         F.sum(F.when(F.col("x").isNotNull(), n)).alias("s0"),
         F.try_sum(F.try_multiply("x", n.cast("decimal(8,0)"))).alias("s1"),
         F.try_sum(F.try_multiply((F.col("x").cast("double") * F.col("x").cast("double")).try_cast("decimal(30,6)"), n.cast("decimal(8,0)"))).alias("s2"),
@@ -102,7 +120,7 @@ def findings(cells: DataFrame, schema_fields: DataFrame, violations: DataFrame,
     Repeated rows count once. A median of 0 before counts as changed if it isn't 0 now.
     """
     values = written(counted(cells, schema_fields), "values")
-    stats = written(profile(values, whole).drop("least", "most"), "profile")  # no finding reads the ranges; least and most of text would have all rows sorted
+    stats = written(profile(values, whole).drop("least", "most", *RANGES), "profile")  # no finding reads the ranges; least and most of text would have all rows sorted
     keys = ["vault_id", "field_id"]
     both = _pairs(stats, keys)
     filled = lambda k: F.col(f"{k}.rows") - F.col(f"{k}.blanks")

@@ -39,6 +39,13 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*profile.GROUP, "field_type", "rows", "blanks", "distinct", "invalid", "least", "most", "s0", F.col("s1").cast("double").alias("s1"), F.col("s2").cast("double").alias("s2"), "median", "mean")
 
 
+def p4_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least and most valid value of each column, compared by type: numbers as numbers, days and times as such, all else as text."""
+    declared = table(spark, sf_dir, "schema_fields")
+    values = profile.counted(table(spark, sf_dir, "cells"), declared)
+    return profile.named(values.groupBy(*profile.IDS, "field_type").agg(*profile.ranges()), declared).select(*profile.GROUP, "field_type", *profile.RANGES)
+
+
 def p4_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric columns whose mean moved by more than half a pooled deviation since the load before."""
     declared = table(spark, sf_dir, "schema_fields")
@@ -73,7 +80,7 @@ TYPES = "Projekte", "Personen", "Veranstaltungen", "Orte", "Organisationen", "Fo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p2_rows, p4_found, p4_profile, p4_shifts, p5_found, p6_found, p6_report)}
+    own = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p2_rows, p4_found, p4_profile, p4_ranges, p4_shifts, p5_found, p6_found, p6_report)}
     return own | {f"p5_wide_{t.lower()}": _wide(t) for t in TYPES}
 
 
@@ -159,6 +166,14 @@ P4_PROFILE = f"""
         median(CASE WHEN valid AND field_type IN ('integer', 'number') THEN TRY_CAST(t AS DOUBLE) END) AS median FROM x GROUP BY ALL)
     SELECT vault_id, load_no, type_name, field_name, field_type, rows, blanks, distinct_ AS distinct, invalid, least, most, s0, s1::DOUBLE AS s1, s2::DOUBLE AS s2, median, s1::DOUBLE / s0 AS mean FROM stats"""
 
+TYPED_RANGES = """
+        min(TRY_CAST(t AS BIGINT)) FILTER (valid AND field_type = 'integer') AS least_integer, max(TRY_CAST(t AS BIGINT)) FILTER (valid AND field_type = 'integer') AS most_integer,
+        min(TRY_CAST(t AS DOUBLE)) FILTER (valid AND field_type = 'number') AS least_number, max(TRY_CAST(t AS DOUBLE)) FILTER (valid AND field_type = 'number') AS most_number,
+        min(TRY_CAST(replace(t, 'T', ' ') AS TIMESTAMP)) FILTER (valid AND field_type IN ('date', 'datetime')) AS least_time, max(TRY_CAST(replace(t, 'T', ' ') AS TIMESTAMP)) FILTER (valid AND field_type IN ('date', 'datetime')) AS most_time,
+        min(v) FILTER (valid AND field_type NOT IN ('integer', 'number', 'date', 'datetime')) AS least_text, max(v) FILTER (valid AND field_type NOT IN ('integer', 'number', 'date', 'datetime')) AS most_text"""
+
+P4_RANGES = f"WITH {COUNTING} SELECT vault_id, load_no, type_name, field_name, field_type, {TYPED_RANGES} FROM judged GROUP BY ALL"
+
 P2_UNIFIED = """
     WITH once AS (SELECT vault_id, type_name, file_id, file_no, name, fields, min(raw_id) AS raw_id FROM raw_records GROUP BY ALL),
     keyed AS (SELECT *, fields::JSON AS f, unnest(json_keys(fields::JSON)) AS k FROM once),
@@ -195,6 +210,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": ORPHANS + " SELECT link_id, reason FROM orphans",
         "p6_report": ORPHANS + " SELECT type_name, strftime(linked_at, '%Y-%m') AS month, reason, count(*) AS links FROM orphans GROUP BY ALL",
         "p4_profile": P4_PROFILE,
+        "p4_ranges": P4_RANGES,
         "p2_rows": P2_UNIFIED,
         "p5_wide_projekte": _wide_sql("Projekte", "Titel:s Beginn:d Abgeschlossen:b Budget:i Traeger:a Staedte:a Erstellt:t Status:s Foerderquote:n"),
         "p5_wide_veranstaltungen": _wide_sql("Veranstaltungen", "Titel:s Datum:d Teilnehmer:a Ort:l Plaetze:i Oeffentlich:b Format:s Beginnt:t"),

@@ -262,6 +262,16 @@ def test_profile(spark):
     assert (r["rows"], r["blanks"], r["distinct"], r["invalid"], r["s0"], float(r["s1"]), float(r["s2"]), r["median"]) == (5, 1, 3, 1, 3, 6.5, 14.75, 2.5)
 
 
+def test_ranges_compare_typed_values(spark):
+    given = {"integer": ["9", "100", " -5 ", "1x", "9007199254740993"], "number": ["9.5", "1e2", "-20", "x"], "date": ["2024-02-29", "2023-01-31", "0"], "datetime": ["2024-01-01 10:00", "2024-01-01T09:59:58", "zz"], "string": ["b", "a9", "a100", " "], "boolean": ["yes", "no", "0"]}
+    rows = [(i, f"f_{k}", v) for k, values in given.items() for i, v in enumerate(values)]
+    p = {KINDS[r["field_id"]]: r for r in profile.profile(profile.counted(cells(spark, rows), declared(spark))).collect()}
+    want = {"integer": ("integer", -5, 9007199254740993), "number": ("number", -20.0, 100.0), "date": ("time", dt.datetime(2023, 1, 31), dt.datetime(2024, 2, 29)), "datetime": ("time", dt.datetime(2024, 1, 1, 9, 59, 58), dt.datetime(2024, 1, 1, 10)), "string": ("text", "a100", "b"), "boolean": ("text", "no", "yes")}
+    for kind, (k, least, most) in want.items():
+        assert (p[kind][f"least_{k}"], p[kind][f"most_{k}"]) == (least, most)
+        assert all(p[kind][c] is None for c in profile.RANGES if not c.endswith(f"_{k}"))
+
+
 # -- references --------------------------------------------------------------------------------------------------
 
 LINKS = "link_id long, vault_id long, source_id long, type_name string, field_name string, target string, linked_at timestamp, loaded_at timestamp"
