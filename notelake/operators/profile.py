@@ -54,6 +54,22 @@ def counted(cells: DataFrame, schema_fields: DataFrame) -> DataFrame:
     return each.withColumn("empty", blank(F.col("value"))).withColumn("valid", ~F.col("empty") & fits(F.col("value"), F.col("field_type")))
 
 
+def others(cells: DataFrame, schema_fields: DataFrame, violations: DataFrame) -> DataFrame:
+    """What counted() leaves out, in the same way: table_name, GROUP, field_type, value, n, empty, valid; all of it is string.
+
+    Fields of cells that their type doesn't declare, named without case and outer spaces (a null name is a field too), of
+    which again the latest cell counts; and the field_name of violations, all types together as type_name *, repeated rows once.
+    """
+    known = Slots(schema_fields).table(cells.sparkSession).select("type_name", F.col("key").alias("field_name"))
+    loose = cells.withColumn("field_name", F.lower(F.trim("field_name"))).join(F.broadcast(known), ["type_name", "field_name"], "left_anti")
+    version = F.struct("loaded_at", "cell_id", "load_no", F.col("cell_value").alias("value"))
+    own = loose.groupBy("vault_id", "record_id", "type_name", "field_name").agg(F.max(version).alias("c")).select(F.lit("cells").alias("table_name"), "vault_id", "c.load_no", "type_name", "field_name", "c.value")
+    said = violations.select("violation_id", "vault_id", "load_no", F.col("field_name").alias("value")).distinct()
+    said = said.select(F.lit("lint_violations").alias("table_name"), "vault_id", "load_no", F.lit("*").alias("type_name"), F.lit("field_name").alias("field_name"), "value")
+    each = own.unionByName(said).groupBy("table_name", *GROUP, F.lit("string").alias("field_type"), "value").agg(F.count("*").alias("n"))
+    return each.withColumn("empty", blank(F.col("value"))).withColumn("valid", ~F.col("empty"))
+
+
 def named(rows: DataFrame, schema_fields: DataFrame) -> DataFrame:
     """rows with type_name and field_name for their field_id."""
     return rows.join(F.broadcast(Slots(schema_fields).table(rows.sparkSession).select("field_id", "type_name", "field_name")), "field_id").drop("field_id")
@@ -74,18 +90,12 @@ def ranges() -> list[Column]:
 RANGES = [f"{side}_{k}" for k in ("integer", "number", "time", "text") for side in ("least", "most")]
 
 
-def profile(values: DataFrame, whole: int = WHOLE) -> DataFrame:
-    """A row for each group of counted(): rows, blanks, distinct, invalid, ranges, power sums, median and standardised difference.
-
-    least and most compare all non-blank values as text. The typed ranges are over the valid values and null for other types: least_integer
-    and most_integer, least_number and most_number, least_time and most_time (date and datetime), least_text and most_text (all the rest).
-    Power sums s1 and s2 are exact decimals over the valid numbers, null beyond 38 digits; shift is the difference of means to the load
-    before over the pooled deviation. Text columns have neither.
-    """
+def _sums(values: DataFrame, ids: list[str]) -> DataFrame:
+    """What merges: counts, ranges and power sums of each group."""
     number = F.col("valid") & F.col("field_type").isin("integer", "number")
     x = F.when(number, F.trim("value").try_cast("decimal(30,8)"))
     n = F.col("n")
-    stats = values.withColumn("x", x).groupBy(*IDS, "field_type").agg(
+    return values.withColumn("x", x).groupBy(*ids, "field_type").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("empty"), n).otherwise(0)).alias("blanks"),
         F.count(F.when(~F.col("empty"), F.lit(1))).alias("distinct"),
@@ -97,6 +107,18 @@ def profile(values: DataFrame, whole: int = WHOLE) -> DataFrame:
         F.try_sum(F.try_multiply("x", n.cast("decimal(8,0)"))).alias("s1"),
         F.try_sum(F.try_multiply((F.col("x").cast("double") * F.col("x").cast("double")).try_cast("decimal(30,6)"), n.cast("decimal(8,0)"))).alias("s2"),
     )
+
+
+def profile(values: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """A row for each group of counted(): rows, blanks, distinct, invalid, ranges, power sums, median and standardised difference.
+
+    least and most compare all non-blank values as text. The typed ranges are over the valid values and null for other types: least_integer
+    and most_integer, least_number and most_number, least_time and most_time (date and datetime), least_text and most_text (all the rest).
+    Power sums s1 and s2 are exact decimals over the valid numbers, null beyond 38 digits; shift is the difference of means to the load
+    before over the pooled deviation. Text columns have neither.
+    """
+    stats = _sums(values, IDS)
+    number = F.col("valid") & F.col("field_type").isin("integer", "number")
     numbers = values.where(number).select(*IDS, F.trim("value").try_cast("double").alias("x"), "n")
     both = stats.join(medians(numbers, IDS, whole), IDS, "left")
     mean = F.col("s1").cast("double") / F.col("s0")
@@ -107,6 +129,13 @@ def profile(values: DataFrame, whole: int = WHOLE) -> DataFrame:
     return both.withColumn("shift", F.when(pooled > 0, (F.col("mean") - m) / pooled))
 
 
+def whole_profile(cells: DataFrame, schema_fields: DataFrame, violations: DataFrame, whole: int = WHOLE) -> DataFrame:
+    """profile() of every field: table_name, GROUP, field_type and the measures, for declared and other fields of cells and the field_name of violations."""
+    values = written(counted(cells, schema_fields), "values")
+    declared = named(profile(values, whole), schema_fields).withColumn("table_name", F.lit("cells"))
+    return declared.unionByName(_sums(others(cells, schema_fields, violations), ["table_name", *GROUP]), allowMissingColumns=True)
+
+
 def _pairs(p: DataFrame, keys: list[str]) -> DataFrame:
     """Each group beside the same of the load before, as structs c and b."""
     now = p.select(*keys, "load_no", F.struct("*").alias("c"))

@@ -39,6 +39,12 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*profile.GROUP, "field_type", "rows", "blanks", "distinct", "invalid", "least", "most", "s0", F.col("s1").cast("double").alias("s1"), F.col("s2").cast("double").alias("s2"), "median", "mean")
 
 
+def p4_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of every field of cells, declared or not, and of the field_name of lint_violations."""
+    out = profile.whole_profile(*(table(spark, sf_dir, t) for t in ("cells", "schema_fields", "lint_violations")))
+    return out.select("table_name", *profile.GROUP, "field_type", "rows", "blanks", "distinct", "invalid", *profile.RANGES, "s0", F.col("s1").cast("double").alias("s1"), F.col("s2").cast("double").alias("s2"), "median", "mean")
+
+
 def p4_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least and most valid value of each column, compared by type: numbers as numbers, days and times as such, all else as text."""
     declared = table(spark, sf_dir, "schema_fields")
@@ -80,7 +86,7 @@ TYPES = "Projekte", "Personen", "Veranstaltungen", "Orte", "Organisationen", "Fo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p2_rows, p4_found, p4_profile, p4_ranges, p4_shifts, p5_found, p6_found, p6_report)}
+    own = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p2_rows, p4_found, p4_profile, p4_profile_all, p4_ranges, p4_shifts, p5_found, p6_found, p6_report)}
     return own | {f"p5_wide_{t.lower()}": _wide(t) for t in TYPES}
 
 
@@ -174,6 +180,21 @@ TYPED_RANGES = """
 
 P4_RANGES = f"WITH {COUNTING} SELECT vault_id, load_no, type_name, field_name, field_type, {TYPED_RANGES} FROM judged GROUP BY ALL"
 
+P4_PROFILE_ALL = f"""
+    WITH {COUNTING},
+    loose AS (SELECT *, lower(trim(field_name, ' ')) AS key FROM cells),
+    undeclared AS (SELECT vault_id, load_no, type_name, key AS field_name, cell_value AS v, row_number() OVER (PARTITION BY vault_id, record_id, type_name, key ORDER BY loaded_at DESC, cell_id DESC) AS rn
+        FROM loose l WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.type_name = l.type_name AND d.key = l.key)),
+    said AS (SELECT DISTINCT violation_id, vault_id, load_no, field_name FROM lint_violations),
+    every AS (
+        SELECT 'cells' AS table_name, vault_id, load_no, type_name, field_name, field_type, v, t, empty, valid FROM judged
+        UNION ALL SELECT 'cells', vault_id, load_no, type_name, field_name, 'string', v, v, v IS NULL OR trim(v, ' ') = '', NOT (v IS NULL OR trim(v, ' ') = '') FROM undeclared WHERE rn = 1
+        UNION ALL SELECT 'lint_violations', vault_id, load_no, '*', 'field_name', 'string', field_name, field_name, field_name IS NULL OR trim(field_name, ' ') = '', NOT (field_name IS NULL OR trim(field_name, ' ') = '') FROM said),
+    x AS (SELECT *, CASE WHEN valid AND field_type IN ('integer', 'number') THEN TRY_CAST(t AS DOUBLE) END AS d, TRY_CAST(d AS DECIMAL(30, 8)) AS x FROM every),
+    stats AS (SELECT table_name, vault_id, load_no, type_name, field_name, field_type, count(*) AS rows, count(*) FILTER (empty) AS blanks, count(DISTINCT v) FILTER (NOT empty) AS distinct, count(*) FILTER (NOT empty AND NOT valid) AS invalid, {TYPED_RANGES},
+        nullif(count(x), 0) AS s0, sum(x)::DOUBLE AS s1, sum(round(x::DOUBLE * x::DOUBLE, 6)::DECIMAL(30, 6))::DOUBLE AS s2, median(d) AS median FROM x GROUP BY ALL)
+    SELECT *, s1 / s0 AS mean FROM stats"""
+
 P2_UNIFIED = """
     WITH once AS (SELECT vault_id, type_name, file_id, file_no, name, fields, min(raw_id) AS raw_id FROM raw_records GROUP BY ALL),
     keyed AS (SELECT *, fields::JSON AS f, unnest(json_keys(fields::JSON)) AS k FROM once),
@@ -210,6 +231,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": ORPHANS + " SELECT link_id, reason FROM orphans",
         "p6_report": ORPHANS + " SELECT type_name, strftime(linked_at, '%Y-%m') AS month, reason, count(*) AS links FROM orphans GROUP BY ALL",
         "p4_profile": P4_PROFILE,
+        "p4_profile_all": P4_PROFILE_ALL,
         "p4_ranges": P4_RANGES,
         "p2_rows": P2_UNIFIED,
         "p5_wide_projekte": _wide_sql("Projekte", "Titel:s Beginn:d Abgeschlossen:b Budget:i Traeger:a Staedte:a Erstellt:t Status:s Foerderquote:n"),

@@ -272,6 +272,19 @@ def test_ranges_compare_typed_values(spark):
         assert all(p[kind][c] is None for c in profile.RANGES if not c.endswith(f"_{k}"))
 
 
+def test_profile_leaves_no_field_out(spark):
+    rows = [(1, "f_integer", "7"), (1, " CSSclass ", "old", 0), (1, "cssclass", "new", 1), (2, "cssCLASS", " ", 1), (3, None, "x"), (4, "tmp", "a", 0, 2), (4, "tmp", "a", 0, 2)]
+    lint = [(i, 1, load, None, None, None, None, f, None, None) for i, load, f in ((1, 1, "a"), (1, 1, "a"), (2, 1, "b"), (3, 1, "a"), (4, 1, None), (5, 2, " "))]
+    df = cells(spark, rows + rows[:4])
+    out = {tuple(r[c] for c in ("table_name", "load_no", "type_name", "field_name")): r for r in profile.whole_profile(df, declared(spark), spark.createDataFrame(lint, VIOLATIONS)).collect()}
+    want = {
+        ("cells", 1, "T", "f_integer"): ("integer", 1, 0, 1, None, None), ("cells", 1, "T", "cssclass"): ("string", 2, 1, 1, "new", "new"), ("cells", 1, "T", None): ("string", 1, 0, 1, "x", "x"), ("cells", 2, "T", "tmp"): ("string", 1, 0, 1, "a", "a"),
+        ("lint_violations", 1, "*", "field_name"): ("string", 4, 1, 2, "a", "b"), ("lint_violations", 2, "*", "field_name"): ("string", 1, 1, 0, None, None),
+    }
+    assert {k: tuple(r[c] for c in ("field_type", "rows", "blanks", "distinct", "least_text", "most_text")) for k, r in out.items()} == want
+    assert out["cells", 1, "T", "f_integer"]["median"] == 7
+
+
 # -- references --------------------------------------------------------------------------------------------------
 
 LINKS = "link_id long, vault_id long, source_id long, type_name string, field_name string, target string, linked_at timestamp, loaded_at timestamp"
