@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -12,9 +12,6 @@ from .tokens import VOCABULARY, token_count
 STEPS = 5_000
 LOGS = 45.0
 
-#: Texts of a source that may be drawn after its sample, to come nearer to the target.
-TOP_UPS = 3
-
 
 def _mixed(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int, total_tokens: int | None):
     spark = documents.sparkSession
@@ -36,44 +33,56 @@ def _mixed(documents: DataFrame, targets: DataFrame, vocabulary: str, seed: int,
         total = min([*reach, *([total_tokens] if total_tokens else [])], default=0)
         want = min(total * g["target_share"], int(g["max_repeats"] or 1) * tokens)
         whole = int(want // tokens) if tokens else 0
-        rest = want - whole * tokens if tokens else 0.0
+        rest = round(want - whole * tokens, 6) if tokens else 0.0  # where all texts are wanted, a target must not end just below their sum
         strata.append((mix, source, float(g["target_share"]), int(g["max_repeats"] or 1), int(tokens), int(n), float(want), whole, float(rest), min(max(rest / tokens, 1e-12), 1 - 1e-12) if tokens else 0.5))
     plan = spark.createDataFrame(strata, "mix_id int, source string, target_share double, max_repeats int, there_tokens long, there_texts long, want double, whole int, rest double, pi double")
     u = (F.shiftrightunsigned(F.xxhash64("text_id", "mix_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(2**53))
     key = F.log(u) - F.log1p(-u) - F.log("pi") + F.log1p(-F.col("pi"))
-    ranked = texts.join(F.broadcast(plan.select("mix_id", "source", "whole", "rest", "pi", "max_repeats")), ["mix_id", "source"]).withColumn("key", key).withColumn("step", F.floor((F.least(F.greatest("key", F.lit(-LOGS)), F.lit(LOGS)) + LOGS) * STEPS))
-    steps = ranked.groupBy("mix_id", "source", "rest", "step").agg(F.sum("tokens").alias("t"))
-    upto = Window.partitionBy("mix_id", "source").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    ends = steps.withColumn("upto", F.sum("t").over(upto)).where("upto >= rest").groupBy("mix_id", "source").agg(F.min(F.struct("step", (F.col("upto") - F.col("t")).alias("before"))).alias("x"))
-    ends = [(r["mix_id"], r["source"], r["x"]["step"], r["x"]["before"]) for r in ends.collect()]  # a row for each target
-    end = spark.createDataFrame(ends, "mix_id int, source string, last long, before long")
-    placed = ranked.join(F.broadcast(end), ["mix_id", "source"], "left")
-    inside = Window.partitionBy("mix_id", "source").orderBy("key", "text_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = placed.where("step = last").withColumn("extra", (F.sum("tokens").over(inside) + F.col("before") <= F.col("rest")).cast("int"))
-    sure = placed.where("step <> last or last is null").withColumn("extra", F.coalesce((F.col("step") < F.col("last")).cast("int"), F.lit(1)))
-    cols = ["mix_id", "source", "doc_id", "text_id", "tokens", "whole", "max_repeats", "rest", "key", "extra"]
-    flagged = written(sure.select(*cols).unionByName(edge.select(*cols)), "flagged")
-    more = spark.createDataFrame(_topped_up(flagged), "mix_id int, source string, text_id string, more int")
-    full = flagged.join(F.broadcast(more), ["mix_id", "source", "text_id"], "left")  # at most TOP_UPS for each target
-    copies = F.least(F.col("whole") + F.greatest("extra", F.coalesce("more", F.lit(0))), F.col("max_repeats"))
-    drawn = full.select("mix_id", "source", "doc_id", "text_id", "tokens", copies.alias("copies")).where("copies > 0")
+    ranked = texts.join(F.broadcast(plan.select("mix_id", "source", "whole", "pi", "max_repeats")), ["mix_id", "source"]).withColumn("key", key).withColumn("step", F.floor((F.least(F.greatest("key", F.lit(-LOGS)), F.lit(LOGS)) + LOGS) * STEPS))
+    ranked = written(ranked.select("mix_id", "source", "doc_id", "text_id", "tokens", "whole", "max_repeats", "key", "step"), "ranked")
+    stretches = spark.createDataFrame(_stretches(ranked, {(x[0], x[1]): x[8] for x in strata}), f"{AT}, high double, high_id string")
+    extra = ranked.join(F.broadcast(stretches), ["mix_id", "source"]).where(_beyond("low", "low_id") & ~_beyond("high", "high_id") & (F.col("text_id") != F.col("high_id")) & (F.col("tokens") <= F.col("room")))
+    cols = ["mix_id", "source", "doc_id", "text_id", "tokens", "max_repeats"]
+    sure = ranked.where("whole > 0").select(*cols, F.col("whole").alias("copies"))
+    copies = F.least(F.sum("copies"), F.col("max_repeats"))
+    drawn = sure.unionByName(extra.select(*cols, F.lit(1).alias("copies"))).groupBy(*cols).agg(copies.cast("int").alias("copies")).drop("max_repeats")
     return drawn, plan
 
 
-def _topped_up(flagged: DataFrame) -> list[tuple]:
-    """The texts beyond the samples that fill what is left of each token target: the largest that fits, a few times over."""
-    gaps = {(r[0], r[1]): r[2] for r in flagged.groupBy("mix_id", "source", "rest").agg(F.sum(F.col("tokens") * F.col("extra")).alias("t")).select("mix_id", "source", F.col("rest") - F.col("t")).collect()}
-    spare, picks = flagged.where("extra = 0 and whole < max_repeats"), []
-    for _ in range(TOP_UPS):
-        room = flagged.sparkSession.createDataFrame([(*k, float(g)) for k, g in gaps.items()], "mix_id int, source string, gap double")
-        known = spare.join(F.broadcast(room), ["mix_id", "source"]).where("tokens <= gap").where(~F.concat_ws("/", "mix_id", "text_id").isin([f"{m}/{t}" for m, _, t, _ in picks]))
-        found = known.groupBy("mix_id", "source").agg(F.max(F.struct("tokens", -F.col("key"), "text_id")).alias("x")).select("mix_id", "source", "x.tokens", "x.text_id").collect()
-        if not found:
-            break
-        for r in found:
-            picks.append((r["mix_id"], r["source"], r["text_id"], 1))
-            gaps[r["mix_id"], r["source"]] -= r["tokens"]
-    return picks
+#: Where the order of a stratum goes on, and the tokens that are left there.
+AT = "mix_id int, source string, low double, low_id string, room double"
+
+
+def _beyond(key: str, text_id: str) -> Column:
+    return (F.col("key") > F.col(key)) | ((F.col("key") == F.col(key)) & (F.col("text_id") > F.col(text_id)))
+
+
+def _stretches(ranked: DataFrame, rests: dict[tuple, float]) -> list[tuple]:
+    """What is drawn once more: the stretches (AT, high, high_id) of each order of which every text of at most room tokens is taken, ends left out.
+
+    The order is walked to its end, past each text that doesn't fit what is then left, so that no text is left out that would fit. A
+    round goes as far as the first such text of each stratum; room only shrinks, so texts that don't fit a stretch's room fit no later one.
+    """
+    spark, out = ranked.sparkSession, []
+    places = {k: (float("-inf"), "", rest) for k, rest in rests.items() if rest >= 1}
+    upto = Window.partitionBy("mix_id", "source").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("mix_id", "source").orderBy("key", "text_id").rowsBetween(Window.unboundedPreceding, 0)
+    while places:
+        at = spark.createDataFrame([(*k, *v) for k, v in places.items()], AT)
+        fit = ranked.join(F.broadcast(at), ["mix_id", "source"]).where(_beyond("low", "low_id") & (F.col("tokens") <= F.col("room")))
+        steps = fit.groupBy("mix_id", "source", "room", "step").agg(F.sum("tokens").alias("t")).withColumn("upto", F.sum("t").over(upto))
+        ends = steps.where("upto > room").groupBy("mix_id", "source").agg(F.min(F.struct("step", (F.col("upto") - F.col("t")).alias("before"))).alias("x"))
+        ends = [(r["mix_id"], r["source"], r["x"]["step"], r["x"]["before"]) for r in ends.collect()]  # at most a row for each target
+        stops = {}
+        if ends:
+            edge = fit.join(F.broadcast(spark.createDataFrame(ends, "mix_id int, source string, last long, before long")), ["mix_id", "source"]).where("step = last")
+            edge = edge.withColumn("used", F.sum("tokens").over(inside) + F.col("before")).where("used > room")
+            first = edge.groupBy("mix_id", "source").agg(F.min(F.struct("key", "text_id", (F.col("used") - F.col("tokens")).alias("used"))).alias("x"))
+            stops = {(r["mix_id"], r["source"]): r["x"] for r in first.collect()}
+        for k, v in places.items():
+            out.append((*k, *v, *((stops[k]["key"], stops[k]["text_id"]) if k in stops else (float("inf"), ""))))
+        places = {k: (x["key"], x["text_id"], places[k][2] - x["used"]) for k, x in stops.items() if places[k][2] - x["used"] >= 1}
+    return out
 
 
 def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = 42, total_tokens: int | None = None) -> DataFrame:
@@ -81,9 +90,8 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
 
     A mix is as large as its scarcest source allows (or total_tokens, if that is less). Of each source every text
     gets the whole part of want / tokens copies for certain; for the rest texts are drawn in Pareto order
-    (random odds over inclusion odds) as long as they keep within the token target; what a long text leaves open is filled
-    by up to TOP_UPS of the texts that fit best. Identical texts are one
-    text: it counts for the source of its lowest doc_id, so nothing is used more often than max_repeats. Null or
+    (random odds over inclusion odds), each that fits what is left of the token target, to the end of the order: no text is left
+    out that would still fit. Identical texts are one text: it counts for the source of its lowest doc_id, so nothing is used more often than max_repeats. Null or
     empty texts, null sources and sources without a target are never drawn; a target without documents reaches 0.
     """
     return _mixed(documents, targets, vocabulary, seed, total_tokens)[0]

@@ -38,6 +38,23 @@ def test_total_can_be_set(spark):
     assert got["a"] == pytest.approx(2_000, abs=40) and got["b"] == pytest.approx(2_000, abs=40)
 
 
+def test_nothing_that_fits_is_left_out(spark):
+    """Long texts in the way of a target: the order goes on past them, as one text after the other would."""
+    d = docs(spark, {"a": (4, 3_000), "b": (300, 20), "c": (1, 12_000)}).withColumn("source", F.when(F.col("source") == "b", "a").otherwise(F.col("source")))
+    t = spark.createDataFrame([(1, "a", 0.5, 1), (1, "c", 0.5, 1)], TARGETS)
+    for seed in range(4):
+        got = {r["source"]: r["tokens"] for r in shares(d, t, seed=seed, total_tokens=17_000).collect()}
+        drawn = {r["doc_id"] for r in mix(d, t, seed=seed, total_tokens=17_000).collect()}
+        assert {i for i in range(1, 305)} - drawn and 8_500 - 30 < got["a"] <= 8_500
+
+
+def test_all_is_drawn_where_all_is_wanted(spark):
+    d = docs(spark, {"a": (37, 11), "b": (5, 400)})
+    for share in (0.1, 0.3, 0.7):
+        t = spark.createDataFrame([(1, "a", share, 3), (1, "b", 1 - share, 50)], TARGETS)
+        assert {r["copies"] for r in mix(d, t).where("source = 'a'").collect()} == {3}
+
+
 def test_inclusion_follows_the_odds(spark):
     d = docs(spark, {"a": (400, 20), "b": (50, 20)})
     t = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.5, 2)], TARGETS)
