@@ -230,3 +230,49 @@ def unified(raw: DataFrame) -> DataFrame:
     text = F.when(F.col("kind").isin("string", "link"), F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v")).otherwise(F.col("value"))
     number = F.when(F.col("column_type").isin("integer", "number"), F.col("value").try_cast("double"))
     return placed.join(types, ["type_name", "column_name"]).select("raw_id", "vault_id", "type_name", "file_id", "name", "column_name", "column_type", text.alias("value"), number.alias("number"))
+
+
+def _as_type(value: Column, kind: str) -> Column:
+    if kind == "array<string>":
+        return F.from_json(value, kind)
+    return value if kind == "string" else value.try_cast(kind)
+
+
+def wide(raw: DataFrame, type_name: str) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+    """The table of a type, and its columns after the first four as (name there, column_name, Spark type).
+
+    One row for each row of raw, repeated ones once: raw_id, vault_id, file_id, name, then a column for each column_name of
+    unified(), by name; null where the row has no value. Booleans, numbers (double) and lists (array<string>, items that are no
+    strings as JSON) come as such, integers as bigint, or decimal(38,0) where one is larger, all else as string. A row without
+    fields is a row of nulls. A column called like one before it, without regard to case, gets a trailing underscore.
+    """
+    own = raw.where(F.col("type_name") == type_name)
+    keys = ["raw_id", "vault_id", "file_id", "name"]
+    values = written(unified(own).select(*keys, "column_name", "column_type", "value"), "unified")
+    large = F.bool_or(F.col("value").isNotNull() & F.col("value").try_cast("bigint").isNull())
+    found = values.groupBy("column_name", "column_type").agg(large.alias("large")).collect()  # a schema, not rows
+    taken, columns = set(keys), []
+    for r in sorted(found, key=lambda r: r["column_name"]):
+        name = r["column_name"]
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        kinds = {"boolean": "boolean", "integer": "decimal(38,0)" if r["large"] else "bigint", "number": "double", "list": "array<string>"}
+        columns.append((name, r["column_name"], kinds.get(r["column_type"], "string")))
+    rows = own.groupBy(*FILE, "name", "fields").agg(F.min("raw_id").alias("raw_id")).select(*keys)
+    cols = [_as_type(F.max(F.when(F.col("column_name") == c, F.col("value"))), kind).alias(name) for name, c, kind in columns]
+    every = rows.unionByName(values.drop("column_type"), allowMissingColumns=True)
+    return (every.groupBy(*keys).agg(*cols) if cols else rows), columns
+
+
+def wide_table(raw: DataFrame, type_name: str) -> DataFrame:
+    """The table of wide()."""
+    return wide(raw, type_name)[0]
+
+
+def melted(raw: DataFrame, type_name: str) -> DataFrame:
+    """The table of wide() as rows, for comparison: raw_id, vault_id, type_name, column_name, column_type (Spark's), value; lists joined by |."""
+    table, columns = wide(raw, type_name)
+    text = lambda name, kind: F.array_join(F.col(f"`{name}`"), "|") if kind == "array<string>" else F.col(f"`{name}`").cast("string")
+    each = [F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("column_type"), text(name, kind).alias("value")) for name, c, kind in columns]
+    return table.select("raw_id", "vault_id", F.lit(type_name).alias("type_name"), F.inline(F.array(*each))) if each else table.sparkSession.createDataFrame([], "raw_id long, vault_id long, type_name string, column_name string, column_type string, value string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,18 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unified(table(spark, sf_dir, "raw_records"))
 
 
+def p2_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values in all tables of a type, with the types of their columns; numbers as such beside their text."""
+    each = [drift.melted(table(spark, sf_dir, "raw_records"), t) for t in TYPES]
+    out = reduce(DataFrame.unionByName, each).where("value is not null")
+    number = F.col("column_type") == "double"
+    return out.withColumn("number", F.when(number, F.col("value").cast("double"))).withColumn("value", F.when(~number, F.col("value")))
+
+
+def _typed(type_name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: drift.wide_table(table(spark, sf_dir, "raw_records"), type_name)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.findings(table(spark, sf_dir, "cells"), table(spark, sf_dir, "schema_fields"), table(spark, sf_dir, "lint_violations"))
 
@@ -86,7 +99,8 @@ TYPES = "Projekte", "Personen", "Veranstaltungen", "Orte", "Organisationen", "Fo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p2_rows, p4_found, p4_profile, p4_profile_all, p4_ranges, p4_shifts, p5_found, p6_found, p6_report)}
+    own = {f.__name__: f for f in (p1_found, p2_found, p2_unified, p2_rows, p2_typed, p4_found, p4_profile, p4_profile_all, p4_ranges, p4_shifts, p5_found, p6_found, p6_report)}
+    own |= {f"p2_wide_{t.lower()}": _typed(t) for t in TYPES}
     return own | {f"p5_wide_{t.lower()}": _wide(t) for t in TYPES}
 
 
@@ -201,6 +215,19 @@ P2_UNIFIED = """
     cell AS (SELECT raw_id, vault_id, type_name, file_id, name, json_extract(f, '$."' || k || '"') AS x FROM keyed)
     SELECT raw_id, vault_id, type_name, file_id, name, count(*) AS fields, count(*) FILTER (NOT (json_type(x) = 'NULL' OR x::VARCHAR IN ('""', '[]'))) AS values_ FROM cell GROUP BY ALL"""
 
+#: The columns follow from the data, so the tables are compared value by value.
+P2_TYPED = P2_FOUND[: P2_FOUND.index("\n    SELECT DISTINCT file_id, 'renamed'")].replace("WITH once", "WITH RECURSIVE once", 1) + """,
+    walk(file_id, k, here, name, depth) AS (SELECT file_id, k, file_id, k, 0 FROM fields UNION ALL
+        SELECT w.file_id, w.k, m.file_id, f.k, depth + 1 FROM walk w JOIN moves m ON m.earlier = w.here LEFT JOIN renamed r ON r.file_id = m.file_id AND r.old = w.name JOIN fields f ON f.file_id = m.file_id AND f.k = coalesce(r.new, w.name)),
+    placed AS (SELECT file_id, k, arg_max(name, depth) AS column_name FROM walk GROUP BY ALL),
+    named AS (SELECT f.*, p.column_name FROM filled f JOIN placed p USING (file_id, k) WHERE full_),
+    types AS (SELECT type_name, column_name, CASE WHEN bool_and(kind = 'boolean') THEN 'boolean' WHEN bool_and(kind = 'integer') THEN 'bigint' WHEN bool_and(kind IN ('integer', 'number')) THEN 'double' WHEN bool_and(kind = 'list') THEN 'array<string>' ELSE 'string' END AS column_type FROM named GROUP BY ALL),
+    raws AS (SELECT vault_id, type_name, file_id, name, fields, min(raw_id) AS raw_id FROM raw_records GROUP BY ALL),
+    keys AS (SELECT *, unnest(json_keys(fields::JSON)) AS k FROM raws),
+    vals AS (SELECT e.raw_id, e.vault_id, e.type_name, p.column_name, t.column_type, json_extract(e.fields::JSON, '$."' || k || '"') AS x FROM keys e JOIN placed p USING (file_id, k) JOIN types t ON t.type_name = e.type_name AND t.column_name = p.column_name)
+    SELECT raw_id, vault_id, type_name, column_name, column_type, CASE column_type WHEN 'double' THEN NULL WHEN 'array<string>' THEN array_to_string(CAST(x AS VARCHAR[]), '|') ELSE CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') ELSE x::VARCHAR END END AS value,
+        CASE WHEN column_type = 'double' THEN CAST(x AS DOUBLE) END AS number FROM vals WHERE NOT (json_type(x) = 'NULL' OR x::VARCHAR IN ('""', '[]'))"""
+
 P5_FOUND = f"WITH {COUNTING} SELECT record_id, field_name FROM judged WHERE NOT empty AND NOT valid"
 
 ORPHANS = """
@@ -234,6 +261,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_profile_all": P4_PROFILE_ALL,
         "p4_ranges": P4_RANGES,
         "p2_rows": P2_UNIFIED,
+        "p2_typed": P2_TYPED,
         "p5_wide_projekte": _wide_sql("Projekte", "Titel:s Beginn:d Abgeschlossen:b Budget:i Traeger:a Staedte:a Erstellt:t Status:s Foerderquote:n"),
         "p5_wide_veranstaltungen": _wide_sql("Veranstaltungen", "Titel:s Datum:d Teilnehmer:a Ort:l Plaetze:i Oeffentlich:b Format:s Beginnt:t"),
         "p5_wide_orte": _wide_sql("Orte", "Name:s Land:s Einwohner:i Flaeche:n Tags:a Geprueft:b Ansprechpartner:l"),

@@ -129,6 +129,18 @@ def test_drift(spark):
     assert out["x", "New"] == ("string", "u", None) and out["y", "Num"] == ("number", "2", 2.0) and out["x", "Keep"][1] in ("[[P/1]]", "text") and ("x", "Old") not in out
 
 
+def test_wide_types(spark):
+    a = [("x", {"Old": True, "Big": 10**20, "Int": 2**53 + 1, "L": ["a", 1], "titel": "t", "Az.": "[[P/1]]", "Mix": 1, "name": "n"}), ("y", {"Old": False, "Int": 1}), ("y", {"Old": False, "Int": 1}), ("e", {}), ("m", None)]
+    b = [("x", {"New": True, "Int": 5, "Num": 1.5, "Titel": "u", "Mix": "a"}), ("y", {"New": False, "Num": 2})]
+    table = drift.wide_table(raw(spark, a, b), "T")
+    assert dict(table.dtypes) == {"raw_id": "bigint", "vault_id": "bigint", "file_id": "bigint", "name": "string", "Az.": "string", "Big": "decimal(38,0)", "Int": "bigint", "L": "array<string>", "Mix": "string", "New": "boolean", "Num": "double", "Titel": "string", "name_": "string", "titel_": "string"}
+    rows = {(r["file_id"], r["name"]): r.asDict() for r in table.collect()}
+    values = lambda *k: {c: v for c, v in rows[k].items() if v is not None and c not in ("raw_id", "vault_id", "file_id", "name")}
+    assert values(11, "x") == {"New": True, "Big": 10**20, "Int": 2**53 + 1, "L": ["a", "1"], "titel_": "t", "Az.": "[[P/1]]", "Mix": "1", "name_": "n"}
+    assert values(12, "y") == {"New": False, "Num": 2.0} and values(11, "e") == values(11, "m") == {} and table.count() == 6
+    assert drift.wide_table(raw(spark, a).limit(0), "T").count() == 0 and drift.melted(raw(spark, a).limit(0), "T").count() == 0
+
+
 def test_drift_nine_tenths(spark):
     a = [(f"r{i}", {"A": i}) for i in range(10)]
     for agreeing, kinds in ((9, {"renamed"}), (8, {"added", "removed"})):
