@@ -200,8 +200,11 @@ def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in batch.itertuples(index=False):
             names: dict[tuple[int, str], str] = {}
             moved: dict[int, dict[str, str]] = {}
-            for r in row.renames if row.renames is not None else ():
-                moved.setdefault(r["file_no"], {}).setdefault(r["old"], r["new"])
+            taken: set[tuple[int, str]] = set()
+            for r in sorted(row.renames if row.renames is not None else (), key=lambda r: (-r["score"], r["old"], r["new"])):
+                if r["old"] not in moved.setdefault(r["file_no"], {}) and (r["file_no"], r["new"]) not in taken:
+                    moved[r["file_no"]][r["old"]] = r["new"]
+                    taken.add((r["file_no"], r["new"]))
             for f in sorted(row.files, key=lambda f: -f["file_no"]):
                 step = moved.get(f["file_no"] + 1, {})
                 for name in f["names"]:
@@ -214,13 +217,14 @@ def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def unified(raw: DataFrame) -> DataFrame:
     """All rows of all files in one schema for each type: (raw_id, vault_id, type_name, file_id, name, column_name, column_type, value, number).
 
-    column_name is the last name a field was given in its collection; column_type the one type that holds all its
+    column_name is the last name a field was given in its collection; of renames that share a field the one with the higher score
+    counts, then by name, so that no two fields of a row share a column. column_type the one type that holds all its
     values in the type: integers and numbers are numbers, links and strings strings, any other mix is string. value
     is canonical text (strings without quotes), number the value of numeric columns.
     """
     report, values, moves = drift(raw)
     pairs = report.where("change_kind = 'renamed'").join(moves.select("file_id", "vault_id", "type_name", "file_no"), "file_id")
-    renames = pairs.groupBy("vault_id", "type_name").agg(F.collect_list(F.struct("file_no", F.col("old_name").alias("old"), F.col("field_name").alias("new"))).alias("renames"))
+    renames = pairs.groupBy("vault_id", "type_name").agg(F.collect_list(F.struct("file_no", F.col("old_name").alias("old"), F.col("field_name").alias("new"), "score")).alias("renames"))
     files = values.groupBy("vault_id", "type_name", "file_no").agg(F.sort_array(F.collect_set("field_name")).alias("names"))
     files = files.groupBy("vault_id", "type_name").agg(F.collect_list(F.struct("file_no", "names")).alias("files"))  # schemas, not rows
     named = files.join(renames, ["vault_id", "type_name"], "left").mapInPandas(_chains, "vault_id long, type_name string, file_no int, field_name string, column_name string")

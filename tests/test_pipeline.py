@@ -141,6 +141,15 @@ def test_wide_types(spark):
     assert drift.wide_table(raw(spark, a).limit(0), "T").count() == 0 and drift.melted(raw(spark, a).limit(0), "T").count() == 0
 
 
+def test_fields_that_merge_or_split_keep_apart(spark):
+    a = [(n, {"A": n * 2, "B": n * 2, "C": n * 3}) for n in "xyz"]
+    b = [(n, {"A2": n * 2, "C1": n * 3, "C2": n * 3}) for n in "xyz"]
+    for files in ((a, b), (a[::-1], b[::-1])):
+        out = {(r["file_id"], r["name"]): r.asDict() for r in drift.wide_table(raw(spark, *files), "T").collect()}
+        row = {k: v for k, v in out[11, "x"].items() if k not in ("raw_id", "vault_id", "file_id", "name") and v is not None}
+        assert row == {"A2": "xx", "B": "xx", "C1": "xxx"}
+
+
 def test_drift_nine_tenths(spark):
     a = [(f"r{i}", {"A": i}) for i in range(10)]
     for agreeing, kinds in ((9, {"renamed"}), (8, {"added", "removed"})):
