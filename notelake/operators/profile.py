@@ -95,6 +95,7 @@ def _sums(values: DataFrame, ids: list[str]) -> DataFrame:
     number = F.col("valid") & F.col("field_type").isin("integer", "number")
     x = F.when(number, F.trim("value").try_cast("decimal(30,8)"))
     n = F.col("n")
+    all_of = lambda term: F.when(~F.bool_or(number & term.isNull()), F.try_sum(term))  # noqa: E731  # a sum skips nulls
     return values.withColumn("x", x).groupBy(*ids, "field_type").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(F.col("empty"), n).otherwise(0)).alias("blanks"),
@@ -104,8 +105,8 @@ def _sums(values: DataFrame, ids: list[str]) -> DataFrame:
         F.max(F.when(~F.col("empty"), F.col("value"))).alias("most"),
         *ranges(),
         F.sum(F.when(F.col("x").isNotNull(), n)).alias("s0"),
-        F.try_sum(F.try_multiply("x", n.cast("decimal(8,0)"))).alias("s1"),
-        F.try_sum(F.try_multiply((F.col("x").cast("double") * F.col("x").cast("double")).try_cast("decimal(30,6)"), n.cast("decimal(8,0)"))).alias("s2"),
+        all_of(F.try_multiply("x", n.try_cast("decimal(8,0)"))).alias("s1"),
+        all_of(F.try_multiply((F.col("x").cast("double") * F.col("x").cast("double")).try_cast("decimal(30,6)"), n.try_cast("decimal(8,0)"))).alias("s2"),
     )
 
 
@@ -114,15 +115,17 @@ def profile(values: DataFrame, whole: int = WHOLE) -> DataFrame:
 
     least and most compare all non-blank values as text. The typed ranges are over the valid values and null for other types: least_integer
     and most_integer, least_number and most_number, least_time and most_time (date and datetime), least_text and most_text (all the rest).
-    Power sums s1 and s2 are exact decimals over the valid numbers, null beyond 38 digits; shift is the difference of means to the load
-    before over the pooled deviation. Text columns have neither.
+    s1 is the exact decimal sum of the valid numbers, s2 that of their squares, which are doubles taken to 6 decimals. A sum, and what
+    is built on it, is null where one valid number of the group doesn't fit: s1 from 1e22 on, s2 from 1e12 on, and beyond 38 digits.
+    shift is the difference of means to the load before over the pooled deviation. Text columns have neither.
     """
     stats = _sums(values, IDS)
     number = F.col("valid") & F.col("field_type").isin("integer", "number")
     numbers = values.where(number).select(*IDS, F.trim("value").try_cast("double").alias("x"), "n")
     both = stats.join(medians(numbers, IDS, whole), IDS, "left")
     mean = F.col("s1").cast("double") / F.col("s0")
-    both = both.withColumn("mean", mean).withColumn("deviation", F.sqrt(F.greatest(F.col("s2").cast("double") / F.col("s0") - mean * mean, F.lit(0.0))))
+    variance = F.col("s2").cast("double") / F.col("s0") - mean * mean
+    both = both.withColumn("mean", mean).withColumn("deviation", F.when(variance.isNotNull(), F.sqrt(F.greatest(variance, F.lit(0.0)))))  # greatest skips nulls
     before = Window.partitionBy("vault_id", "field_id").orderBy("load_no").rangeBetween(-1, -1)
     m, d = F.first("mean").over(before), F.first("deviation").over(before)
     pooled = F.sqrt((F.col("deviation") * F.col("deviation") + d * d) / 2)

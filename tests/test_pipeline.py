@@ -293,6 +293,16 @@ def test_ranges_compare_typed_values(spark):
         assert all(p[kind][c] is None for c in profile.RANGES if not c.endswith(f"_{k}"))
 
 
+def test_sums_are_of_all_numbers_or_null(spark):
+    loads = {1: ["1", "2", "6"], 2: ["1", "2", "1000000000000"], 3: ["1", "2", "1e23"], 4: ["1", "2", "6"], 5: ["3", "3", "9"]}
+    rows = [(10 * load + i, "f_number", v, 0, load) for load, values in loads.items() for i, v in enumerate(values)]
+    p = {r["load_no"]: r for r in profile.profile(profile.counted(cells(spark, rows), declared(spark))).collect()}
+    assert [None if p[n]["s1"] is None else float(p[n]["s1"]) for n in (1, 2, 3, 4)] == [9, 1e12 + 3, None, 9]
+    assert [None if p[n]["s2"] is None else float(p[n]["s2"]) for n in (1, 2, 3, 4)] == [41, None, None, 41]
+    assert p[2]["mean"] is not None and all(p[n]["deviation"] is None for n in (2, 3)) and p[3]["mean"] is None
+    assert [p[n]["shift"] is None for n in (1, 2, 3, 4, 5)] == [True, True, True, True, False]
+
+
 def test_profile_leaves_no_field_out(spark):
     rows = [(1, "f_integer", "7"), (1, " CSSclass ", "old", 0), (1, "cssclass", "new", 1), (2, "cssCLASS", " ", 1), (3, None, "x"), (4, "tmp", "a", 0, 2), (4, "tmp", "a", 0, 2)]
     lint = [(i, 1, load, None, None, None, None, f, None, None) for i, load, f in ((1, 1, "a"), (1, 1, "a"), (2, 1, "b"), (3, 1, "a"), (4, 1, None), (5, 2, " "))]
