@@ -4,7 +4,7 @@ Each file's schema is a small graph: the file, its fields, their types and the p
 nesting, ``a.b``). For a file and the one before it, pairs of nodes that are reached over edges of one kind form the
 pairwise connectivity graph; match scores, seeded with spelling and with values that agree under the same record
 name, flow along it until they settle. Consistent correspondences are selected from the scores. A rename is a
-correspondence that the values bear out.
+correspondence that the values bear out; what they refute is known to the next flood, which goes over the rest.
 """
 
 from __future__ import annotations
@@ -21,10 +21,35 @@ from ..session import ship, written
 #: The share of common records that must agree for a rename, as a fraction.
 AGREE, OF = 9, 10
 
-ROUNDS, SETTLED = 200, 1e-4
+#: How little the scores still move when a flood has settled.
+SETTLED = 1e-4
+
+#: A pair is selected if its score is at least this share of the best scores of both its fields.
+NEAR_BEST = 0.9
 
 FILE = ["vault_id", "type_name", "file_no", "file_id"]
 
+#: What a value of a kind adds to the mask of its field.
+KINDS = {"boolean": 1, "integer": 2, "number": 4, "list": 8, "link": 16, "string": 32, "object": 64}
+
+
+def _objects(raw: DataFrame) -> DataFrame:
+    """raw with m, the entries of the JSON object in fields; other rows have none and are left out."""
+    return raw.where("fields is not null").withColumn("m", F.try_parse_json("fields").try_cast("map<string,variant>")).where("m is not null")
+
+
+def _kind(text: Column) -> Column:
+    """The kind of a value, told by its canonical JSON; null where it is empty."""
+    first = F.substring(text, 1, 1)
+    return (
+        F.when(text.isNull() | text.isin("null", '""', "[]"), None)
+        .when(first == '"', F.when(text.startswith('"[[') & text.endswith(']]"') & (F.char_length(text) >= 6), "link").otherwise("string"))
+        .when(first.isin("t", "f"), "boolean")
+        .when(first == "[", "list")
+        .when(first == "{", "object")
+        .otherwise(F.when(text.rlike(r"^-?[0-9]+\z"), "integer").otherwise("number"))
+    )
+
 
 def cells(raw: DataFrame) -> DataFrame:
     """(raw_id, FILE, name, field_name, kind, value) for each key of each row's JSON object; value is canonical JSON, null where it is empty.
@@ -32,37 +57,24 @@ def cells(raw: DataFrame) -> DataFrame:
     Rows repeated under another raw_id are taken once, with the lowest. A text that is no JSON object has no fields.
     """
     once = raw.where("fields is not null").groupBy(*FILE, "name", "fields").agg(F.min("raw_id").alias("raw_id"))
-    parsed = once.withColumn("v", F.try_parse_json("fields")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    entries = F.explode(F.col("v").try_cast("map<string,variant>")).alias("field_name", "x")
-    each = parsed.select("raw_id", *FILE, "name", entries)
-    kind = F.schema_of_variant("x")
-    text = F.when(kind == "STRING", F.col("x").try_cast("string"))
-    value = F.to_json("x")
-    empty = (kind == "VOID") | F.coalesce(text == "", F.lit(False)) | (value == "[]")
-    named = (
-        F.when(empty, None)
-        .when(kind == "BOOLEAN", "boolean")
-        .when((kind == "BIGINT") | value.rlike(r"^-?[0-9]+\z"), "integer")
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "number")
-        .when(kind.startswith("ARRAY"), "list")
-        .when(kind == "STRING", F.when(text.startswith("[[") & text.endswith("]]") & (F.char_length(text) >= 4), "link").otherwise("string"))
-        .otherwise("object")
-    )
-    return each.select("raw_id", *FILE, "name", "field_name", named.alias("kind"), F.when(~empty, value).alias("value"))
+    each = _objects(once).select("raw_id", *FILE, "name", F.explode("m").alias("field_name", "x")).withColumn("value", F.to_json("x")).withColumn("kind", _kind(F.col("value")))
+    return each.select("raw_id", *FILE, "name", "field_name", "kind", F.when(F.col("kind").isNotNull(), F.col("value")).alias("value"))
 
 
-def field_type(kind: Column) -> Column:
-    """An aggregate: the one type of all non-empty values."""
-    every = lambda *k: F.bool_and(kind.isin(*k))
-    return F.coalesce(
-        F.when(F.count(kind) == 0, "unknown").when(every("boolean"), "boolean").when(every("integer"), "integer").when(every("integer", "number"), "number").when(every("list"), "list").when(every("link"), "link").when(every("link", "string"), "string"),
-        F.lit("unknown"),
-    )
+def mask(kind: Column) -> Column:
+    """An aggregate: the kinds of all values together, 0 for none."""
+    return F.bit_or(F.coalesce(*[F.when(kind == k, F.lit(bit)) for k, bit in KINDS.items()], F.lit(0)))
 
 
-def schemas(values: DataFrame) -> DataFrame:
-    """FILE and its fields, an array of (field_name, type) by name; as long as a schema is wide."""
-    fields = values.groupBy(*FILE, "field_name").agg(field_type(F.col("kind")).alias("type"))
+def field_type(kinds: Column) -> Column:
+    """The one type of all non-empty values, from their mask()."""
+    return F.when(kinds == 1, "boolean").when(kinds == 2, "integer").when(kinds.isin(4, 6), "number").when(kinds == 8, "list").when(kinds == 16, "link").when(kinds.isin(32, 48), "string").otherwise("unknown")
+
+
+def schemas(raw: DataFrame) -> DataFrame:
+    """FILE and its fields, an array of (field_name, type) by name; as long as a schema is wide. Read from raw in one pass, summed up before the shuffle."""
+    each = _objects(raw).select(*FILE, F.explode("m").alias("field_name", "x")).select(*FILE, "field_name", _kind(F.to_json("x")).alias("kind"))
+    fields = each.groupBy(*FILE, "field_name").agg(field_type(mask(F.col("kind"))).alias("type"))
     return fields.groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct("field_name", "type"))).alias("fields"))
 
 
@@ -74,16 +86,23 @@ def transitions(files: DataFrame) -> DataFrame:
     return both.withColumn("gone", F.array_except(names("earlier"), names("later"))).withColumn("fresh", F.array_except(names("later"), names("earlier")))
 
 
-def evidence(values: DataFrame, moves: DataFrame) -> DataFrame:
-    """(file_id, old, new, agree, both): for pairs of a gone and a fresh field that agree in some record name; both: the names with a value on each side."""
-    filled = values.where("name is not null and value is not null").select("file_id", "name", "field_name", "value")
-    old = moves.select("file_id", "earlier_id", F.explode("gone").alias("old")).join(filled.withColumnsRenamed({"file_id": "earlier_id", "field_name": "old"}), ["earlier_id", "old"]).select("file_id", "old", "name", "value").distinct()
-    new = moves.select("file_id", F.explode("fresh").alias("new")).join(filled.withColumnRenamed("field_name", "new"), ["file_id", "new"]).select("file_id", "new", "name", "value").distinct()
+def evidence(raw: DataFrame, moves: DataFrame) -> DataFrame:
+    """(file_id, old, new, agree, both): for pairs of a gone and a fresh field that agree in some record name; both: the names with a value on each side.
+
+    Only files that lose one field and gain another are read for it, and of them only those fields.
+    """
+    sides = moves.where((F.size("gone") > 0) & (F.size("fresh") > 0)).select(
+        "file_id", F.inline(F.array(F.struct(F.col("earlier_id").alias("source"), F.lit("old").alias("side"), F.col("gone").alias("names")), F.struct(F.col("file_id").alias("source"), F.lit("new").alias("side"), F.col("fresh").alias("names"))))
+    )
+    rows = _objects(raw.where("name is not null")).select(F.col("file_id").alias("source"), "name", "m")
+    each = rows.join(sides, "source").select("file_id", "side", "name", "m", F.explode("names").alias("field_name")).select("file_id", "side", "name", "field_name", F.to_json(F.try_element_at("m", "field_name")).alias("value"))
+    held = written(each.where(_kind(F.col("value")).isNotNull()), "evidence")
+    old = held.where("side = 'old'").select("file_id", F.col("field_name").alias("old"), "name", "value").distinct()
+    new = held.where("side = 'new'").select("file_id", F.col("field_name").alias("new"), "name", "value").distinct()
     agree = old.join(new, ["file_id", "name", "value"]).groupBy("file_id", "old", "new").agg(F.count_distinct("name").alias("agree"))
     a = old.select("file_id", "old", "name").distinct()
     b = new.select("file_id", "new", "name").distinct()
-    both = agree.join(a, ["file_id", "old"]).join(b, ["file_id", "new", "name"]).groupBy("file_id", "old", "new", "agree").agg(F.count("*").alias("both"))
-    return both
+    return agree.join(a, ["file_id", "old"]).join(b, ["file_id", "new", "name"]).groupBy("file_id", "old", "new", "agree").agg(F.count("*").alias("both"))
 
 
 def _trigrams(name: str) -> set[str]:
@@ -97,10 +116,13 @@ def _spelling(a: str, b: str) -> float:
 
 
 def flood(earlier: list[tuple[str, str]], later: list[tuple[str, str]], seeds: dict[tuple[str, str], float]) -> np.ndarray:
-    """Scores of all pairs of fields, settled, between 0 and 1."""
+    """Scores of all pairs of fields, settled, between 0 and 1.
+
+    Each round adds the same positive scores and norms, so that rounds draw nearer to each other and the flood always settles.
+    """
     n, m = len(earlier), len(later)
     types = sorted({t for _, t in earlier} | {t for _, t in later})
-    start = np.array([[max(_spelling(a, b), seeds.get((a, b), 0.0)) for b, _ in later] for a, _ in earlier]).reshape(n, m)
+    start = np.array([[0.75 * max(_spelling(a, b), seeds.get((a, b), 0.0)) + 0.25 * _spelling(a, b) for b, _ in later] for a, _ in earlier]).reshape(n, m)
     of_a = np.array([[t == u for u in types] for _, t in earlier], dtype=float).reshape(n, -1)
     of_b = np.array([[t == u for u in types] for _, t in later], dtype=float).reshape(m, -1)
     kin = np.eye(len(types))
@@ -115,7 +137,8 @@ def flood(earlier: list[tuple[str, str]], later: list[tuple[str, str]], seeds: d
     nested = [(place_a.get(p), place_b.get(q), i, j) for i, p in enumerate(top[0]) if p for j, q in enumerate(top[1]) if q]
     nested = [x for x in nested if x[0] is not None and x[1] is not None]
     fields, kinds, root = start.copy(), kin.copy(), 1.0
-    for _ in range(ROUNDS):
+    moved = 1.0
+    while moved >= SETTLED:
         f = start + fields + of_a @ ((kin + kinds) / share) @ of_b.T + (1 + root) / (n * m)
         for p, q, i, j in nested:
             f[i, j] += fields[p, q]
@@ -126,45 +149,61 @@ def flood(earlier: list[tuple[str, str]], later: list[tuple[str, str]], seeds: d
         f, k, r = f / top_score, k / top_score, r / top_score
         moved = np.sqrt(((f - fields) ** 2).sum() + ((k - kinds) ** 2).sum() + (r - root) ** 2)
         fields, kinds, root = f, k, r
-        if moved < SETTLED:
-            break
     return fields / fields.max()
 
 
+def select(earlier: list[tuple[str, str]], later: list[tuple[str, str]], seeds: dict[tuple[str, str], tuple[int, int]]) -> list[tuple[str, str, float, int, bool]]:
+    """The correspondences (old, new, score, flood, holds) of the fields that only one side has.
+
+    A flood is seeded with spelling and with the share of names whose values agree (seeds: agree, both). The pairs whose
+    score is near the best of both fields are selected, and the rule holds them or not. Held and refuted pairs then
+    are known, as scores of 1 and 0, and the next flood goes over the rest, until it selects nothing more that any value
+    supports. Every supported pair is thus selected by some flood: flood tells by which, 1 for most.
+    """
+    same = {a for a, _ in earlier} & {b for b, _ in later}
+    shares, known, out, n = {p: agree / both for p, (agree, both) in seeds.items()}, set(), [], 0
+    place = {(a, b): (i, j) for i, (a, _) in enumerate(earlier) if a not in same for j, (b, _) in enumerate(later) if b not in same}
+    while True:
+        n += 1
+        scores = flood(earlier, later, shares)
+        left = {p: float(scores[at]) for p, at in place.items() if p not in known}
+        best: dict[tuple[int, str], float] = {}
+        for (a, b), score in left.items():
+            best[0, a], best[1, b] = max(best.get((0, a), 0.0), score), max(best.get((1, b), 0.0), score)
+        picked = sorted(p for p, score in left.items() if score >= NEAR_BEST * max(best[0, p[0]], best[1, p[1]]))
+        for p in picked:
+            agree, both = seeds.get(p, (0, 1))
+            holds = agree * OF >= both * AGREE
+            known.add(p)
+            shares[p] = float(holds)
+            out.append((*p, left[p], n, holds))
+        if not any(p in seeds for p in left if p not in known):
+            return out
+
+
 def _matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
-            earlier = [(f["field_name"], f["type"]) for f in row.earlier]
-            later = [(f["field_name"], f["type"]) for f in row.later]
-            seeds = {(s["old"], s["new"]): s["agree"] / s["both"] for s in row.seeds} if row.seeds is not None else {}
-            scores = flood(earlier, later, seeds)
-            same = {a for a, _ in earlier} & {b for b, _ in later}
-            free = sorted(((-scores[i, j], a, b) for i, (a, _) in enumerate(earlier) if a not in same for j, (b, _) in enumerate(later) if b not in same))
-            taken: set[tuple[int, str]] = set()
-            for score, a, b in free:
-                chosen = (0, a) not in taken and (1, b) not in taken
-                if chosen:
-                    taken |= {(0, a), (1, b)}
-                if chosen or (a, b) in seeds:
-                    out.append((row.file_id, a, b, -score, chosen))
-        yield pd.DataFrame(out, columns=["file_id", "old", "new", "score", "chosen"])
+            pairs = [[(f["field_name"], f["type"]) for f in side] for side in (row.earlier, row.later)]
+            seeds = {(s["old"], s["new"]): (s["agree"], s["both"]) for s in row.seeds} if row.seeds is not None else {}
+            out += [(row.file_id, *found) for found in select(*pairs, seeds)]
+        yield pd.DataFrame(out, columns=["file_id", "old", "new", "score", "flood", "holds"])
 
 
 def correspondences(moves: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(file_id, old, new, score, chosen, agree, both) for gone and fresh fields: those selected one to one by score, and all others whose values agree somewhere."""
+    """(file_id, old, new, score, flood, holds) of gone and fresh fields, as select() finds them, a file at a time."""
     ship(moves.sparkSession)
     listed = seeds.groupBy("file_id").agg(F.collect_list(F.struct("old", "new", "agree", "both")).alias("seeds"))  # at most a schema's width squared
     graph = moves.where((F.size("gone") > 0) & (F.size("fresh") > 0)).select("file_id", "earlier", "later").join(listed, "file_id", "left")
-    scored = graph.mapInPandas(_matched, "file_id long, old string, new string, score double, chosen boolean")
-    return scored.join(seeds, ["file_id", "old", "new"], "left")
+    tasks = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the bytes are few, the floods are the work
+    return graph.repartition(tasks, "file_id").mapInPandas(_matched, "file_id long, old string, new string, score double, flood int, holds boolean")
 
 
-def drift(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The changes of each file (file_id, change_kind, field_name, old_name, old_type, new_type, score), its cells and its schemas."""
-    values = written(cells(raw), "cells")
-    moves = written(transitions(schemas(values)), "moves")
-    matched = correspondences(moves, evidence(values, moves)).where(F.col("agree") * OF >= F.col("both") * AGREE)
+def drift(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The changes of each file (file_id, change_kind, field_name, old_name, old_type, new_type, score) and the transitions they are found in."""
+    moves = written(transitions(schemas(raw)), "moves")
+    matched = correspondences(moves, evidence(raw, moves)).where("holds")
     renames = matched.groupBy("file_id").agg(F.collect_list(F.struct("old", "new", "score")).alias("renames"))  # at most a schema's width squared
     both = moves.join(renames, "file_id", "left").withColumns({"was": F.map_from_entries("earlier"), "now": F.map_from_entries("later"), "renames": F.coalesce("renames", F.array().cast("array<struct<old:string,new:string,score:double>>"))})
     was, now, none = F.col("was"), F.col("now"), F.lit(None).cast("string")
@@ -181,7 +220,7 @@ def drift(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.transform(come, lambda n: change("added", n, none, none, now[n])),
         F.transform(kept, lambda n: change("retyped", n, none, was[n], now[n])),
     )
-    return both.select("file_id", F.explode(said).alias("c")).select("file_id", "c.*"), values, moves
+    return both.select("file_id", F.explode(said).alias("c")).select("file_id", "c.*"), moves
 
 
 def changes(raw: DataFrame) -> DataFrame:
@@ -193,47 +232,56 @@ def changes(raw: DataFrame) -> DataFrame:
     return drift(raw)[0].select("file_id", "change_kind", "field_name").distinct()
 
 
+def one_to_one(renames: list[tuple[float, str, str]]) -> dict[str, str]:
+    """New names by old ones, of (score, old, new): the higher score first, then by name, each name once."""
+    moved: dict[str, str] = {}
+    taken: set[str] = set()
+    for _, old, new in sorted((-score, old, new) for score, old, new in renames):
+        if old not in moved and new not in taken:
+            moved[old] = new
+            taken.add(new)
+    return moved
+
+
 def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The last name of each field of each file, along the renames of its collection and type."""
+    """The last name of each field of each file, along the renames of its collection and type: files come latest first, and only the names of the one after are kept."""
+    at, after, own = None, ({}, {}), ({}, {})  # final names and renames of the file number after, and of this one
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
-            names: dict[tuple[int, str], str] = {}
-            moved: dict[int, dict[str, str]] = {}
-            taken: set[tuple[int, str]] = set()
-            for r in sorted(row.renames if row.renames is not None else (), key=lambda r: (-r["score"], r["old"], r["new"])):
-                if r["old"] not in moved.setdefault(r["file_no"], {}) and (r["file_no"], r["new"]) not in taken:
-                    moved[r["file_no"]][r["old"]] = r["new"]
-                    taken.add((r["file_no"], r["new"]))
-            for f in sorted(row.files, key=lambda f: -f["file_no"]):
-                step = moved.get(f["file_no"] + 1, {})
-                for name in f["names"]:
-                    after = step.get(name, name)
-                    names[f["file_no"], name] = names.get((f["file_no"] + 1, after), after)
-                    out.append((row.vault_id, row.type_name, f["file_no"], name, names[f["file_no"], name]))
+            here = (row.vault_id, row.type_name, row.file_no)
+            if here != at:
+                follows = at is not None and at[:2] == here[:2] and at[2] - here[2] == 1
+                at, after, own = here, own if follows else ({}, {}), ({}, {})
+            for name in row.fields:
+                now = after[1].get(name, name)
+                own[0][name] = after[0].get(now, now)
+                out.append((*here, name, own[0][name]))
+            own[1].update(one_to_one([(r["score"], r["old"], r["new"]) for r in (row.renames if row.renames is not None else ())]))
         yield pd.DataFrame(out, columns=["vault_id", "type_name", "file_no", "field_name", "column_name"])
 
 
 def unified(raw: DataFrame) -> DataFrame:
-    """All rows of all files in one schema for each type: (raw_id, vault_id, type_name, file_id, name, column_name, column_type, value, number).
+    """All rows of all files in one schema for each type: (raw_id, vault_id, type_name, file_id, name, column_name, column_type, value, whole, number).
 
     column_name is the last name a field was given in its collection; of renames that share a field the one with the higher score
     counts, then by name, so that no two fields of a row share a column. column_type the one type that holds all its
     values in the type: integers and numbers are numbers, links and strings strings, any other mix is string. value
-    is canonical text (strings without quotes), number the value of numeric columns.
+    is canonical text (strings without quotes); whole is the value of integer columns (null beyond 64 bits), number that of
+    number columns.
     """
-    report, values, moves = drift(raw)
-    pairs = report.where("change_kind = 'renamed'").join(moves.select("file_id", "vault_id", "type_name", "file_no"), "file_id")
-    renames = pairs.groupBy("vault_id", "type_name").agg(F.collect_list(F.struct("file_no", F.col("old_name").alias("old"), F.col("field_name").alias("new"), "score")).alias("renames"))
-    files = values.groupBy("vault_id", "type_name", "file_no").agg(F.sort_array(F.collect_set("field_name")).alias("names"))
-    files = files.groupBy("vault_id", "type_name").agg(F.collect_list(F.struct("file_no", "names")).alias("files"))  # schemas, not rows
-    named = files.join(renames, ["vault_id", "type_name"], "left").mapInPandas(_chains, "vault_id long, type_name string, file_no int, field_name string, column_name string")
+    report, moves = drift(raw)
+    values = written(cells(raw), "cells")
+    renames = report.where("change_kind = 'renamed'").groupBy("file_id").agg(F.collect_list(F.struct("score", F.col("old_name").alias("old"), F.col("field_name").alias("new"))).alias("renames"))  # at most a schema's width squared
+    files = values.groupBy(*FILE).agg(F.sort_array(F.collect_set("field_name")).alias("fields")).join(renames, "file_id", "left")
+    latest_first = files.repartition("vault_id", "type_name").sortWithinPartitions("vault_id", "type_name", F.desc("file_no"), "file_id")  # schemas, not rows
+    named = latest_first.mapInPandas(_chains, "vault_id long, type_name string, file_no int, field_name string, column_name string").distinct()
     placed = values.join(named, ["vault_id", "type_name", "file_no", "field_name"])
-    kind = field_type(F.col("kind"))
+    kind = field_type(mask(F.col("kind")))
     types = placed.groupBy("type_name", "column_name").agg(F.when(kind == "unknown", "string").otherwise(kind).alias("column_type"))
     text = F.when(F.col("kind").isin("string", "link"), F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v")).otherwise(F.col("value"))
-    number = F.when(F.col("column_type").isin("integer", "number"), F.col("value").try_cast("double"))
-    return placed.join(types, ["type_name", "column_name"]).select("raw_id", "vault_id", "type_name", "file_id", "name", "column_name", "column_type", text.alias("value"), number.alias("number"))
+    whole, number = F.when(F.col("column_type") == "integer", F.col("value").try_cast("bigint")), F.when(F.col("column_type") == "number", F.col("value").try_cast("double"))
+    return placed.join(types, ["type_name", "column_name"]).select("raw_id", "vault_id", "type_name", "file_id", "name", "column_name", "column_type", text.alias("value"), whole.alias("whole"), number.alias("number"))
 
 
 def _as_type(value: Column, kind: str) -> Column:

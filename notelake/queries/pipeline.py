@@ -216,7 +216,7 @@ P2_UNIFIED = """
     SELECT raw_id, vault_id, type_name, file_id, name, count(*) AS fields, count(*) FILTER (NOT (json_type(x) = 'NULL' OR x::VARCHAR IN ('""', '[]'))) AS values_ FROM cell GROUP BY ALL"""
 
 #: The columns follow from the data, so the tables are compared value by value.
-P2_TYPED = P2_FOUND[: P2_FOUND.index("\n    SELECT DISTINCT file_id, 'renamed'")].replace("WITH once", "WITH RECURSIVE once", 1) + """,
+PLACED = P2_FOUND[: P2_FOUND.index("\n    SELECT DISTINCT file_id, 'renamed'")].replace("WITH once", "WITH RECURSIVE once", 1) + """,
     walk(file_id, k, here, name, depth) AS (SELECT file_id, k, file_id, k, 0 FROM fields UNION ALL
         SELECT w.file_id, w.k, m.file_id, f.k, depth + 1 FROM walk w JOIN moves m ON m.earlier = w.here LEFT JOIN renamed r ON r.file_id = m.file_id AND r.old = w.name JOIN fields f ON f.file_id = m.file_id AND f.k = coalesce(r.new, w.name)),
     placed AS (SELECT file_id, k, arg_max(name, depth) AS column_name FROM walk GROUP BY ALL),
@@ -224,10 +224,16 @@ P2_TYPED = P2_FOUND[: P2_FOUND.index("\n    SELECT DISTINCT file_id, 'renamed'")
     types AS (SELECT type_name, column_name, CASE WHEN bool_and(kind = 'boolean') THEN 'boolean' WHEN bool_and(kind = 'integer') THEN 'bigint' WHEN bool_and(kind IN ('integer', 'number')) THEN 'double' WHEN bool_and(kind = 'list') THEN 'array<string>' ELSE 'string' END AS column_type FROM named GROUP BY ALL),
     raws AS (SELECT vault_id, type_name, file_id, name, fields, min(raw_id) AS raw_id FROM raw_records GROUP BY ALL),
     keys AS (SELECT *, unnest(json_keys(fields::JSON)) AS k FROM raws),
-    vals AS (SELECT e.raw_id, e.vault_id, e.type_name, p.column_name, t.column_type, json_extract(e.fields::JSON, '$."' || k || '"') AS x FROM keys e JOIN placed p USING (file_id, k) JOIN types t ON t.type_name = e.type_name AND t.column_name = p.column_name)
+    vals AS (SELECT e.raw_id, e.vault_id, e.type_name, p.column_name, t.column_type, e.file_id, e.name, json_extract(e.fields::JSON, '$."' || k || '"') AS x FROM keys e JOIN placed p USING (file_id, k) JOIN types t ON t.type_name = e.type_name AND t.column_name = p.column_name)"""
+
+P2_TYPED = PLACED + """
     SELECT raw_id, vault_id, type_name, column_name, column_type, CASE column_type WHEN 'double' THEN NULL WHEN 'array<string>' THEN array_to_string(CAST(x AS VARCHAR[]), '|') ELSE CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') ELSE x::VARCHAR END END AS value,
         CASE WHEN column_type = 'double' THEN CAST(x AS DOUBLE) END AS number FROM vals WHERE NOT (json_type(x) = 'NULL' OR x::VARCHAR IN ('""', '[]'))"""
 
+P2_WHOLE = PLACED.replace("'boolean' WHEN bool_and(kind = 'integer') THEN 'bigint' WHEN bool_and(kind IN ('integer', 'number')) THEN 'double' WHEN bool_and(kind = 'list') THEN 'array<string>'", "'boolean' WHEN bool_and(kind = 'integer') THEN 'integer' WHEN bool_and(kind IN ('integer', 'number')) THEN 'number' WHEN bool_and(kind = 'list') THEN 'list' WHEN bool_and(kind = 'link') THEN 'link'").replace("WHERE full_),", "),").replace("bool_and(kind", "bool_and(CASE WHEN full_ THEN kind END") + """
+    SELECT raw_id, vault_id, type_name, file_id, name, column_name, column_type, CASE WHEN json_type(x) = 'NULL' OR x::VARCHAR IN ('""', '[]') THEN NULL WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') ELSE x::VARCHAR END AS value,
+        CASE WHEN column_type = 'integer' THEN TRY_CAST(x AS BIGINT) END AS whole, CASE WHEN column_type = 'number' AND json_type(x) <> 'NULL' AND x::VARCHAR NOT IN ('""', '[]') THEN CAST(x AS DOUBLE) END AS number FROM vals"""
+
 P5_FOUND = f"WITH {COUNTING} SELECT record_id, field_name FROM judged WHERE NOT empty AND NOT valid"
 
 ORPHANS = """
@@ -262,6 +268,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_ranges": P4_RANGES,
         "p2_rows": P2_UNIFIED,
         "p2_typed": P2_TYPED,
+        "p2_unified": P2_WHOLE,
         "p5_wide_projekte": _wide_sql("Projekte", "Titel:s Beginn:d Abgeschlossen:b Budget:i Traeger:a Staedte:a Erstellt:t Status:s Foerderquote:n"),
         "p5_wide_veranstaltungen": _wide_sql("Veranstaltungen", "Titel:s Datum:d Teilnehmer:a Ort:l Plaetze:i Oeffentlich:b Format:s Beginnt:t"),
         "p5_wide_orte": _wide_sql("Orte", "Name:s Land:s Einwohner:i Flaeche:n Tags:a Geprueft:b Ansprechpartner:l"),

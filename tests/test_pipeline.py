@@ -126,6 +126,7 @@ def test_drift(spark):
     df = raw(spark, a, b).withColumns({"old": F.lit(1), "kind": F.lit("x"), "seeds": F.lit(2), "field_name": F.lit("c")})
     assert tuples(drift.changes(df), "file_id", "change_kind", "field_name") == [(12, "added", "Empty"), (12, "added", "Fresh"), (12, "removed", "Gone"), (12, "renamed", "New"), (12, "retyped", "Keep"), (12, "retyped", "Num")]
     out = {(r["name"], r["column_name"]): (r["column_type"], r["value"], r["number"]) for r in drift.unified(df).collect()}
+    assert drift.unified(raw(spark, [("x", {"I": 2**53 + 1})])).first()["whole"] == 2**53 + 1
     assert out["x", "New"] == ("string", "u", None) and out["y", "Num"] == ("number", "2", 2.0) and out["x", "Keep"][1] in ("[[P/1]]", "text") and ("x", "Old") not in out
 
 
@@ -160,7 +161,7 @@ def test_drift_nine_tenths(spark):
 def test_drift_types(spark):
     cases = {"boolean": [True, None], "integer": [1, 10**12], "number": [1, 2.5], "list": [["a"], []], "link": ["[[a]]", "[[b|c]]", ""], "string": ["a", "[[b]]"], "unknown": [1, "a"], "unknown ": [None, "", []]}
     rows = [(f"r{i}", {k: v[i] for k, v in cases.items() if i < len(v)}) for i in range(3)]
-    got = {f["field_name"]: f["type"] for f in drift.schemas(drift.cells(raw(spark, rows))).first()["fields"]}
+    got = {f["field_name"]: f["type"] for f in drift.schemas(raw(spark, rows)).first()["fields"]}
     assert got == {k: k.strip() for k in cases}
 
 
@@ -174,6 +175,28 @@ def test_flooding_settles_on_the_likely_match():
     assert scores[0, 0] > scores[0, 1] and scores[1, 1] > scores[1, 0] and scores.max() == 1
 
 
+def test_every_supported_pair_is_selected_and_checked():
+    side = lambda *names: [(n, "string") for n in names]
+    seeds = {("Wert", "Werte"): (10, 10), ("Wert", "Kopie"): (9, 10), ("Ort", "Kopie"): (8, 10), ("Ort", "Zz"): (1, 10)}
+    found = {(a, b): (flood, holds) for a, b, _, flood, holds in drift.select(side("Wert", "Ort", "Same"), side("Werte", "Kopie", "Zz", "Same"), seeds)}
+    assert {p for p, (_, holds) in found.items() if holds} == {("Wert", "Werte"), ("Wert", "Kopie")} and set(seeds) <= set(found)
+    assert found["Wert", "Werte"][0] == 1 and max(f for f, _ in found.values()) > 1 and ("Ort", "Zz") in found
+
+
+def test_scores_place_a_field_that_splits(spark, monkeypatch):
+    a = [(n, {"Wert": n * 2}) for n in "xyz"]
+    b = [(n, {"Ablage": n * 2, "Werte": n * 2}) for n in "xyz"]
+    placed = {r["column_name"] for r in drift.unified(raw(spark, a, b)).where("file_id = 11").collect()}
+    assert placed == {"Werte"}
+    even = lambda earlier, later, seeds: drift.np.ones((len(earlier), len(later)))
+    seeds = {("Wert", "Ablage"): (3, 3), ("Wert", "Werte"): (3, 3)}
+    score = lambda: {x[1]: x[2] for x in drift.select([("Wert", "string")], [("Ablage", "string"), ("Werte", "string")], seeds)}
+    by_flood = score()
+    monkeypatch.setattr(drift, "flood", even)
+    assert by_flood["Werte"] > by_flood["Ablage"] and len(set(score().values())) == 1
+    assert drift.one_to_one([(1.0, "Wert", "Ablage"), (1.0, "Wert", "Werte")]) == {"Wert": "Ablage"}
+
+
 # -- cells: pivot and profile ------------------------------------------------------------------------------------
 
 CELLS = "cell_id long, vault_id long, load_no int, record_id long, type_name string, pos int, field_name string, cell_value string, loaded_at timestamp"
