@@ -196,13 +196,13 @@ def correspondences(moves: DataFrame, seeds: DataFrame) -> DataFrame:
     ship(moves.sparkSession)
     listed = seeds.groupBy("file_id").agg(F.collect_list(F.struct("old", "new", "agree", "both")).alias("seeds"))  # at most a schema's width squared
     graph = moves.where((F.size("gone") > 0) & (F.size("fresh") > 0)).select("file_id", "earlier", "later").join(listed, "file_id", "left")
-    tasks = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the bytes are few, the floods are the work
+    tasks = 2 * int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the bytes are few, the floods are the work; another number than the join's, else Spark merges the two
     return graph.repartition(tasks, "file_id").mapInPandas(_matched, "file_id long, old string, new string, score double, flood int, holds boolean")
 
 
 def drift(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The changes of each file (file_id, change_kind, field_name, old_name, old_type, new_type, score) and the transitions they are found in."""
-    moves = written(transitions(schemas(raw)), "moves")
+    moves = written(transitions(written(schemas(raw), "schemas")), "moves")  # a transition reads the schemas twice
     matched = correspondences(moves, evidence(raw, moves)).where("holds")
     renames = matched.groupBy("file_id").agg(F.collect_list(F.struct("old", "new", "score")).alias("renames"))  # at most a schema's width squared
     both = moves.join(renames, "file_id", "left").withColumns({"was": F.map_from_entries("earlier"), "now": F.map_from_entries("later"), "renames": F.coalesce("renames", F.array().cast("array<struct<old:string,new:string,score:double>>"))})
