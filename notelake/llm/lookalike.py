@@ -57,57 +57,90 @@ def looks(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_letters()))
 
 
+@lru_cache(maxsize=1)
+def _folded_letters() -> dict[int, str]:
+    """Lookalike letters after case folding, so that both cases of a word end up the same."""
+    return {ord(chr(a).casefold()): b.casefold() for a, b in _letters().items()}
+
+
 def folded(text: str) -> str:
-    """The form for searching: compatibility composed, full case folding, one kind of space, nothing ignorable, lookalike letters joined."""
-    text = unicodedata.normalize("NFKC", looks(text)).casefold()
-    return unicodedata.normalize("NFKC", looks(text))
+    """The form for searching: compatibility composed, full case folding, one kind of space, nothing ignorable, lookalike letters joined.
 
+    Text that looks the same has one folded form, since it is made from the look; case is folded before the letters that
+    remain are joined, so that a word is found in either case, in any script.
+    """
+    if _PLAIN.fullmatch(text):
+        return text.lower()
+    once = unicodedata.normalize("NFKC", looks(text)).casefold()
+    joined = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", once)).translate(_folded_letters())
+    return unicodedata.normalize("NFKC", _IGNORABLE.sub("", joined))
 
-def _per_value(form, text: Column) -> Column:
-    ship(SparkSession.active())
 
-    @F.pandas_udf("string")
-    def apply(values: pd.Series) -> pd.Series:
-        codes, distinct = pd.factorize(values)  # null is -1
-        formed = [*map(form, distinct), None]
-        return pd.Series([formed[i] for i in codes], dtype=object)
+FORMS = "struct<look:string,folded:string>"
 
-    return apply(text)
 
+def forms(text: Column) -> Column:
+    """looks() and folded() of a column, once for each distinct value of a batch; null stays null, empty stays empty.
 
-def looks_like(text: Column) -> Column:
-    """looks() of a column, once for each distinct value of a batch; null stays null, empty stays empty."""
-    return _per_value(looks, text)
+    Text of printable ASCII is formed by Spark: it is its own look.
+    """
+    ship(SparkSession.active())
 
+    @F.pandas_udf(FORMS)
+    def apply(values: pd.Series) -> pd.DataFrame:
+        codes, distinct = pd.factorize(values)  # null is -1
+        look, fold = ([*map(form, distinct), None] for form in (looks, folded))
+        return pd.DataFrame({"look": pd.Series([look[i] for i in codes], dtype=object), "folded": pd.Series([fold[i] for i in codes], dtype=object)})
 
-def search_form(text: Column) -> Column:
-    """folded() of a column, once for each distinct value of a batch; null stays null, empty stays empty."""
-    return _per_value(folded, text)
+    plain = text.rlike(r"^[ -~]*\z")
+    return F.when(plain, F.struct(text.alias("look"), F.lower(text).alias("folded"))).otherwise(apply(F.when(~plain, text)))
 
 
 def normalised(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with <column>_looks and <column>_search for each of the columns."""
-    return df.withColumns({f"{c}_looks": looks_like(F.col(c)) for c in columns} | {f"{c}_search": search_form(F.col(c)) for c in columns})
+    for c in columns:
+        df = df.withColumn("__forms", forms(F.col(c))).withColumns({f"{c}_looks": F.col("__forms.look"), f"{c}_search": F.col("__forms.folded")}).drop("__forms")
+    return df
 
 
-def _twins(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of ids with the same look and different text. Only looks with several spellings are paired."""
-    several = rows.groupBy(*keys, "look").agg(F.min("text").alias("x"), F.max("text").alias("y")).where("x <> y").select(*keys, "look")
-    held = rows.join(several, [*keys, "look"])
-    a = held.select(*keys, "look", F.col("id").alias("a"), F.col("text").alias("ta"))
-    b = held.select(*keys, "look", F.col("id").alias("b"), F.col("text").alias("tb"))
-    return a.join(b, [*keys, "look"]).where("ta <> tb and a <> b").select(F.least("a", "b").alias("record_a"), F.greatest("a", "b").alias("record_b"))
+KEYS = ["vault_id", "type_name", "part"]
+
+
+def spellings(records: DataFrame) -> DataFrame:
+    """(KEYS, id, text, look, folded), once each: the names and paths of records that share their folded form with one that is written unlike it looks.
+
+    The groups of the folded form hold all that can look the same; looks decide within them. Where no text of a look
+    differs from it, the look has one spelling only.
+    """
+    parts = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("text")) for c in ("name", "path")])
+    rows = records.select("vault_id", "type_name", F.col("record_id").alias("id"), F.explode(parts).alias("x")).select("vault_id", "type_name", "id", "x.*").where("text is not null and vault_id is not null and type_name is not null")
+    looked = written(rows.withColumn("f", forms(F.col("text"))).select(*KEYS, "id", "text", "f.look", "f.folded"), "looks")  # else the forms are made again for each use
+    odd = looked.where("look <> text").select(*KEYS, "folded").distinct()
+    return looked.join(odd, [*KEYS, "folded"], "left_semi").distinct()
 
 
 def lookalikes(records: DataFrame) -> DataFrame:
     """(record_a, record_b), smaller first: records of one vault_id and type_name whose names, or whose paths, look the same and are different strings.
 
-    A null name or path doesn't count, nor does a null vault_id or type_name. Repeated rows count once.
+    A null name or path doesn't count, nor does a null vault_id or type_name. Repeated rows count once. Spellings are
+    paired, and pairs of them are expanded to the records that have them.
     """
-    parts = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("text")) for c in ("name", "path")])
-    rows = records.select("vault_id", "type_name", F.col("record_id").alias("id"), F.explode(parts).alias("x")).select("vault_id", "type_name", "id", "x.*").where("text is not null")
-    looked = written(rows.withColumn("look", looks_like(F.col("text"))), "looks")  # else the looks are made again for each use
-    keys = ["vault_id", "type_name", "part"]
-    # A look that no text differs from has one spelling only: the others are the few to be paired.
-    odd = looked.where("look <> text").select(*keys, "look").distinct()
-    return _twins(looked.join(odd, [*keys, "look"], "left_semi").distinct(), keys).distinct()
+    held = written(spellings(records), "spellings")
+    each = held.select(*KEYS, "folded", "look", "text").distinct()
+    a, b = (each.withColumnRenamed("text", t) for t in ("ta", "tb"))
+    pairs = a.join(b, [*KEYS, "folded", "look"]).where("ta < tb").select(*KEYS, "ta", "tb")
+    one, two = (held.select(*KEYS, F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("a", "ta"), ("b", "tb")))
+    both = pairs.join(one, [*KEYS, "ta"]).join(two, [*KEYS, "tb"]).where("a <> b")
+    return both.select(F.least("a", "b").alias("record_a"), F.greatest("a", "b").alias("record_b")).distinct()
+
+
+def look_classes(records: DataFrame) -> DataFrame:
+    """(record_id, part, class_id, links): each record with a lookalike, by name or path; no pairs are made.
+
+    A class is all that looks the same within KEYS; its id is the lowest record_id in it. links: its rows that are written differently.
+    """
+    held = spellings(records)
+    by_text = held.groupBy(*KEYS, "look", "text").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    classes = by_text.groupBy(*KEYS, "look").agg(F.sum("n").alias("of"), F.min("first").alias("class_id"), F.count("*").alias("spellings")).where("spellings > 1")
+    sizes = by_text.join(classes, [*KEYS, "look"]).select(*KEYS, "text", "class_id", (F.col("of") - F.col("n")).alias("links"))
+    return held.join(sizes, [*KEYS, "text"]).select(F.col("id").alias("record_id"), "part", "class_id", "links")

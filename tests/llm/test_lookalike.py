@@ -7,7 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from notelake.llm.lookalike import folded, lookalikes, looks, looks_like, normalised
+from notelake.llm import lookalike
+from notelake.llm.lookalike import folded, forms, look_classes, lookalikes, looks, normalised
 
 SAME = [
     ("Tjark", "Ｔjａｒｋ"), ("Noé", "Noé"), ("final", "ﬁnal"), ("offen", "oﬀen"), ("a b", "a b"), ("a b", "a b"), ("a b", "a　b"), ("ab", "a​b"), ("ab", "a­b"), ("ab", "﻿ab"), ("ab", "a⁠b"),
@@ -36,7 +37,7 @@ def test_search_form():
 @given(st.text(max_size=30))
 def test_settled(text):
     assert looks(looks(text)) == looks(text) and looks(unicodedata.normalize("NFD", text)) == looks(unicodedata.normalize("NFC", text))
-    assert folded(folded(text)) == folded(text)
+    assert folded(folded(text)) == folded(text) and folded(looks(text)) == folded(text)
 
 
 ALPHABET = ["a", "а", "ａ", "b", "​", " ", " ", "é", "é"]
@@ -53,6 +54,15 @@ def test_pairs(spark, rows):
     }
     got = [tuple(r) for r in lookalikes(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    links = {(a[0], part): sum(a[1:3] == b[1:3] and b[k] is not None and a[k] != b[k] and looks(a[k]) == looks(b[k]) for b in records) for a in records for k, part in ((3, "name"), (4, "path")) if a[k] is not None}
+    rows = look_classes(df).collect()
+    assert {(r["record_id"], r["part"]): r["links"] for r in rows} == {k: n for k, n in links.items() if n} and len(rows) == len([n for n in links.values() if n])
+
+
+def test_one_look_of_very_many_records(spark):
+    many = spark.range(200_000).selectExpr("id AS record_id", "1L AS vault_id", "'S' AS type_name", "if(id = 7, 'Ｎame', 'Name') AS name", "CAST(NULL AS string) AS path")
+    assert lookalikes(many).selectExpr("count(*)", "min(least(abs(record_a - 7), abs(record_b - 7)))").first()[:] == (199_999, 0)
+    assert look_classes(many).selectExpr("count(*)", "count(DISTINCT class_id)", "sum(links)").first()[:] == (200_000, 1, 2 * 199_999)
 
 
 def test_columns(spark):
@@ -60,4 +70,4 @@ def test_columns(spark):
     rows = normalised(df, ["name", "path"]).collect()
     assert [r["name_looks"] for r in rows] == ["A", None, ""] and rows[0]["name_search"] == "a" and rows[2]["path_looks"] == "a" * 100_000
     assert lookalikes(spark.createDataFrame([], RECORDS)).count() == 0
-    assert df.limit(0).select(looks_like(F.col("name"))).count() == 0
+    assert df.limit(0).select(forms(F.col("name"))).count() == 0 and look_classes(spark.createDataFrame([], RECORDS)).count() == 0
