@@ -65,9 +65,9 @@ def compacted(runs: DataFrame, slots: Slots, keys: list[str] = KEYS) -> DataFram
 
 
 def latest(cells: DataFrame, slots: Slots) -> DataFrame:
-    """The compacted table of all batches: IDS, s0, s1, ... Rows are brought together by record once, before deltas are made, so that merging moves nothing."""
-    together = placed(cells, slots).drop("type_name").repartition("record_id")
-    return compacted(deltas(together, slots, IDS), slots, IDS)
+    """The compacted table of all batches: IDS, s0, s1, ... Each task makes one sparse delta of its rows before they are shuffled, so that a record with very many versions moves once a task; the shuffle's other side compacts."""
+    version = F.struct("loaded_at", "cell_id", "load_no", F.col("cell_value").alias("value"))
+    return placed(cells, slots).drop("type_name").groupBy(*IDS).agg(*[F.max(F.when(F.col("slot") == i, version)).alias(s) for i, s in enumerate(_names(slots))])
 
 
 def counting(wide: DataFrame, slots: Slots) -> DataFrame:
@@ -77,11 +77,10 @@ def counting(wide: DataFrame, slots: Slots) -> DataFrame:
 
 
 def latest_cells(cells: DataFrame, slots: Slots) -> DataFrame:
-    """counting(latest(...)) for those who need no wide rows: the latest version of each cell, taken cell by cell."""
-    together = placed(cells, slots).drop("type_name").repartition("record_id")
+    """counting(latest(...)) for those who need no wide rows: the latest version of each cell, taken cell by cell, first within each task."""
     field = (F.col("type_id") * slots.width + F.col("slot")).alias("field_id")
     version = F.struct("loaded_at", "cell_id", "load_no", F.col("cell_value").alias("value"))
-    cell = together.groupBy("vault_id", "record_id", field).agg(F.max(version).alias("c"))
+    cell = placed(cells, slots).groupBy("vault_id", "record_id", field).agg(F.max(version).alias("c"))
     return cell.select("vault_id", "record_id", "field_id", "c.load_no", "c.cell_id", F.col("c.value").alias("cell_value"))
 
 

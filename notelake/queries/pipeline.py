@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, incremental, pivot, profile, references
-from ..session import table
+from ..session import table, written
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +46,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.findings(table(spark, sf_dir, "cells"), table(spark, sf_dir, "schema_fields"), table(spark, sf_dir, "lint_violations"))
 
 
-def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+MEASURES = ("rows", "blanks", "distinct", "invalid", *profile.RANGES, "s0", "s1", "s2", "median", "mean")
+
+
+def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     declared = table(spark, sf_dir, "schema_fields")
-    out = profile.named(profile.profile(profile.counted(table(spark, sf_dir, "cells"), declared)), declared)
-    return out.select(*profile.GROUP, "field_type", "rows", "blanks", "distinct", "invalid", "least", "most", "s0", F.col("s1").cast("double").alias("s1"), F.col("s2").cast("double").alias("s2"), "median", "mean")
+    return profile.named(profile.profile(written(profile.counted(table(spark, sf_dir, "cells"), declared), "values")), declared)
+
+
+def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profiled(spark, sf_dir).select(*profile.GROUP, "field_type", *MEASURES, F.round("deviation", 4).alias("deviation"), F.round("shift", 4).alias("shift"))
 
 
 def p4_profile_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile of every field of cells, declared or not, and of the field_name of lint_violations."""
     out = profile.whole_profile(*(table(spark, sf_dir, t) for t in ("cells", "schema_fields", "lint_violations")))
-    return out.select("table_name", *profile.GROUP, "field_type", "rows", "blanks", "distinct", "invalid", *profile.RANGES, "s0", F.col("s1").cast("double").alias("s1"), F.col("s2").cast("double").alias("s2"), "median", "mean")
+    return out.select("table_name", *profile.GROUP, "field_type", *MEASURES, F.round("deviation", 4).alias("deviation"), F.round("shift", 4).alias("shift"))
 
 
 def p4_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +73,8 @@ def p4_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric columns whose mean moved by more than half a pooled deviation since the load before."""
-    declared = table(spark, sf_dir, "schema_fields")
-    out = profile.named(profile.profile(profile.counted(table(spark, sf_dir, "cells"), declared)), declared)
-    return out.where(F.abs("shift") > 0.5).select(*profile.GROUP, "mean", "deviation", "shift")
+    out = _profiled(spark, sf_dir).where(F.abs("shift") > 0.5)
+    return out.select(*profile.GROUP, "mean", F.round("deviation", 4).alias("deviation"), F.round("shift", 4).alias("shift"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,14 +183,6 @@ P4_FOUND = f"""
     UNION ALL SELECT 'cells', vault_id, load_no, type_name, field_name, 'shares' FROM common WHERE 1 - common > 0.351
     UNION ALL SELECT 'lint_violations', c.vault_id, c.load_no, '*', 'field_name', 'nulls' FROM loads c JOIN loads b ON c.vault_id = b.vault_id AND c.load_no = b.load_no + 1 WHERE abs(c.share - b.share) > 0.201"""
 
-P4_PROFILE = f"""
-    WITH {COUNTING},
-    x AS (SELECT *, CASE WHEN valid AND field_type IN ('integer', 'number') THEN TRY_CAST(TRY_CAST(t AS DOUBLE) AS DECIMAL(30, 8)) END AS x FROM judged),
-    stats AS (SELECT vault_id, load_no, field_type, type_name, field_name, count(*) AS rows, count(*) FILTER (empty) AS blanks, count(DISTINCT v) FILTER (NOT empty) AS distinct_, count(*) FILTER (NOT empty AND NOT valid) AS invalid,
-        min(v) FILTER (NOT empty) AS least, max(v) FILTER (NOT empty) AS most, nullif(count(x), 0) AS s0, sum(x) AS s1, sum(round(x::DOUBLE * x::DOUBLE, 6)::DECIMAL(30, 6)) AS s2,
-        median(CASE WHEN valid AND field_type IN ('integer', 'number') THEN TRY_CAST(t AS DOUBLE) END) AS median FROM x GROUP BY ALL)
-    SELECT vault_id, load_no, type_name, field_name, field_type, rows, blanks, distinct_ AS distinct, invalid, least, most, s0, s1::DOUBLE AS s1, s2::DOUBLE AS s2, median, s1::DOUBLE / s0 AS mean FROM stats"""
-
 TYPED_RANGES = """
         min(TRY_CAST(t AS BIGINT)) FILTER (valid AND field_type = 'integer') AS least_integer, max(TRY_CAST(t AS BIGINT)) FILTER (valid AND field_type = 'integer') AS most_integer,
         min(TRY_CAST(t AS DOUBLE)) FILTER (valid AND field_type = 'number') AS least_number, max(TRY_CAST(t AS DOUBLE)) FILTER (valid AND field_type = 'number') AS most_number,
@@ -194,6 +191,22 @@ TYPED_RANGES = """
 
 P4_RANGES = f"WITH {COUNTING} SELECT vault_id, load_no, type_name, field_name, field_type, {TYPED_RANGES} FROM judged GROUP BY ALL"
 
+#: Sums are exact here too (values have at most 4 decimals); deviation is DuckDB's own.
+MEASURED = f"""
+    stats AS (SELECT table_name, vault_id, load_no, type_name, field_name, field_type, count(*) AS rows, count(*) FILTER (empty) AS blanks, count(DISTINCT v) FILTER (NOT empty) AS distinct, count(*) FILTER (NOT empty AND NOT valid) AS invalid, {TYPED_RANGES},
+        nullif(count(d), 0) AS s0, sum(x)::DOUBLE AS s1, sum(x * x)::DOUBLE AS s2, median(d) AS median, stddev_pop(d) AS deviation FROM x GROUP BY ALL),
+    shown AS (SELECT *, s1 / s0 AS mean FROM stats),
+    moved AS (SELECT c.* EXCLUDE (deviation), round(c.deviation, 4) AS deviation, round(CASE WHEN c.deviation > 0 OR b.deviation > 0 THEN (c.mean - b.mean) / sqrt((c.deviation ** 2 + b.deviation ** 2) / 2) END, 4) AS shift
+        FROM shown c LEFT JOIN shown b ON c.table_name = b.table_name AND c.vault_id = b.vault_id AND c.type_name = b.type_name AND c.field_name = b.field_name AND c.load_no = b.load_no + 1)"""
+
+NUMBERS = "CASE WHEN valid AND field_type IN ('integer', 'number') THEN TRY_CAST(t AS DOUBLE) END AS d, TRY_CAST(d AS DECIMAL(19, 4)) AS x"
+
+P4_MOVED = f"WITH {COUNTING}, x AS (SELECT 'cells' AS table_name, *, {NUMBERS} FROM judged), {MEASURED}"
+
+P4_PROFILE = f"{P4_MOVED} SELECT * EXCLUDE (table_name) FROM moved"
+
+P4_SHIFTS = f"{P4_MOVED} SELECT vault_id, load_no, type_name, field_name, mean, deviation, shift FROM moved WHERE abs(shift) > 0.5"
+
 P4_PROFILE_ALL = f"""
     WITH {COUNTING},
     loose AS (SELECT *, lower(trim(field_name, ' ')) AS key FROM cells),
@@ -204,10 +217,8 @@ P4_PROFILE_ALL = f"""
         SELECT 'cells' AS table_name, vault_id, load_no, type_name, field_name, field_type, v, t, empty, valid FROM judged
         UNION ALL SELECT 'cells', vault_id, load_no, type_name, field_name, 'string', v, v, v IS NULL OR trim(v, ' ') = '', NOT (v IS NULL OR trim(v, ' ') = '') FROM undeclared WHERE rn = 1
         UNION ALL SELECT 'lint_violations', vault_id, load_no, '*', 'field_name', 'string', field_name, field_name, field_name IS NULL OR trim(field_name, ' ') = '', NOT (field_name IS NULL OR trim(field_name, ' ') = '') FROM said),
-    x AS (SELECT *, CASE WHEN valid AND field_type IN ('integer', 'number') THEN TRY_CAST(t AS DOUBLE) END AS d, TRY_CAST(d AS DECIMAL(30, 8)) AS x FROM every),
-    stats AS (SELECT table_name, vault_id, load_no, type_name, field_name, field_type, count(*) AS rows, count(*) FILTER (empty) AS blanks, count(DISTINCT v) FILTER (NOT empty) AS distinct, count(*) FILTER (NOT empty AND NOT valid) AS invalid, {TYPED_RANGES},
-        nullif(count(x), 0) AS s0, sum(x)::DOUBLE AS s1, sum(round(x::DOUBLE * x::DOUBLE, 6)::DECIMAL(30, 6))::DOUBLE AS s2, median(d) AS median FROM x GROUP BY ALL)
-    SELECT *, s1 / s0 AS mean FROM stats"""
+    x AS (SELECT *, {NUMBERS} FROM every), {MEASURED}
+    SELECT * FROM moved"""
 
 P2_UNIFIED = """
     WITH once AS (SELECT vault_id, type_name, file_id, file_no, name, fields, min(raw_id) AS raw_id FROM raw_records GROUP BY ALL),
@@ -265,6 +276,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_report": ORPHANS + " SELECT type_name, strftime(linked_at, '%Y-%m') AS month, reason, count(*) AS links FROM orphans GROUP BY ALL",
         "p4_profile": P4_PROFILE,
         "p4_profile_all": P4_PROFILE_ALL,
+        "p4_shifts": P4_SHIFTS,
         "p4_ranges": P4_RANGES,
         "p2_rows": P2_UNIFIED,
         "p2_typed": P2_TYPED,

@@ -282,8 +282,8 @@ def test_runs_merge_in_any_order(spark, tmp_path_factory, rows):
 def test_medians_of_large_groups(spark, rows):
     df = spark.createDataFrame([(g, float(x), n) for g, x, n in rows], "g int, x double, n long")
     want = {g: statistics.median([float(x) for h, x, n in rows for _ in range(n) if h == g]) for g, _, _ in rows}
-    for whole in (3, 100_000):
-        got = {r["g"]: r["median"] for r in profile.medians(df, ["g"], whole).collect()}
+    for per_task in (4, 100_000):
+        got = {r["g"]: r["median"] for r in profile.medians(df, ["g"], per_task=per_task).collect()}
         assert got == pytest.approx(want)
 
 
@@ -321,9 +321,32 @@ def test_sums_are_of_all_numbers_or_null(spark):
     rows = [(10 * load + i, "f_number", v, 0, load) for load, values in loads.items() for i, v in enumerate(values)]
     p = {r["load_no"]: r for r in profile.profile(profile.counted(cells(spark, rows), declared(spark))).collect()}
     assert [None if p[n]["s1"] is None else float(p[n]["s1"]) for n in (1, 2, 3, 4)] == [9, 1e12 + 3, None, 9]
-    assert [None if p[n]["s2"] is None else float(p[n]["s2"]) for n in (1, 2, 3, 4)] == [41, None, None, 41]
-    assert p[2]["mean"] is not None and all(p[n]["deviation"] is None for n in (2, 3)) and p[3]["mean"] is None
-    assert [p[n]["shift"] is None for n in (1, 2, 3, 4, 5)] == [True, True, True, True, False]
+    assert [None if p[n]["s2"] is None else float(p[n]["s2"]) for n in (1, 2, 3, 4)] == [41, 1e24 + 5, None, 41]
+    assert p[2]["deviation"] == pytest.approx(statistics.pstdev([1, 2, 10**12])) and p[3]["deviation"] is None and p[3]["mean"] is None
+    assert [p[n]["shift"] is None for n in (1, 2, 3, 4, 5)] == [True, False, True, True, False]
+    assert p[3]["median"] == 2
+
+
+def test_profile_of_very_common_and_very_close_numbers(spark):
+    """Values are counted, not repeated; the deviation of numbers far from 0 is that of their decimals."""
+    rows = [(1, 1, 0, "number", v, n, False, True) for v, n in (("7", 3_000_000_000), ("7.0", 10**12), ("9", 10**12), ("1", 5))] + [(1, 2, 0, "number", v, 1, False, True) for v in ("1000000000.1", "1000000000.2", "1000000000.3")]
+    df = spark.createDataFrame(rows, "vault_id long, load_no int, field_id int, field_type string, value string, n long, empty boolean, valid boolean")
+    p = {r["load_no"]: r for r in profile.profile(df).collect()}
+    of = 2 * 10**12 + 3 * 10**9 + 5
+    assert (p[1]["s0"], p[1]["median"], p[1]["s1"]) == (of, 7.0, float(16 * 10**12 + 21 * 10**9 + 5)) and p[1]["deviation"] == pytest.approx(1, abs=0.01)
+    assert p[2]["mean"] == 1000000000.2 and p[2]["deviation"] == pytest.approx(statistics.pstdev([0.1, 0.2, 0.3]), rel=1e-12)
+
+
+@SLOW
+@given(st.lists(st.lists(st.integers(-20, 60), min_size=1, max_size=6), min_size=2, max_size=6))
+def test_levels_against_plain_medians(spark, loads):
+    """Brackets of the power sums decide some, medians the rest; together they are what plain medians say."""
+    rows = [(1, i, 0, "integer", str(v), 1, False, True) for i, values in enumerate(loads) for v in set(values)]
+    df = spark.createDataFrame(rows, "vault_id long, load_no int, field_id int, field_type string, value string, n long, empty boolean, valid boolean")
+    m = [statistics.median(set(values)) for values in loads]
+    want = [i for i in range(1, len(m)) if (m[i] != 0 if m[i - 1] == 0 else m[i] / m[i - 1] >= 4 or m[i] / m[i - 1] <= 0.25)]
+    both = profile._pairs(profile.measured(df), ["vault_id", "field_id"])
+    assert sorted(r["load_no"] for r in profile.levels(df, both, 4).collect()) == want
 
 
 def test_profile_leaves_no_field_out(spark):
