@@ -4,6 +4,9 @@ A tree covers the records of one collection. Its leaves are ranges of the hashed
 from its entries, an inner node's from its children. Two trees are compared from the root: only where digests differ
 are the children looked at, and only the entries of differing leaves are compared. All trees of a run are compared at
 once, level by level, so that a run costs a few joins however many collections there are.
+
+A leaf's digest is made from an order-free sum over its entries, so that a saved digest is brought up to date by the
+entries that came in since, without reading the others again.
 """
 
 from __future__ import annotations
@@ -45,10 +48,23 @@ def _leaf(deepest: int) -> Column:
     return F.coalesce(*[F.when(F.col("depth") == d, _range_at(d)) for d in range(deepest + 1)])
 
 
+def _hashes() -> tuple[Column, Column]:
+    return F.xxhash64("key", "content"), F.xxhash64("content", F.lit("#"), "key")
+
+
+def leaf_sums(entries: DataFrame, by: list[str]) -> DataFrame:
+    """by and the sums of its entries (key, content): one, two, n."""
+    one, two = _hashes()
+    return entries.groupBy(*by).agg(F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two"), F.count("*").alias("n"))
+
+
+def digested(sums: DataFrame) -> DataFrame:
+    return sums.withColumn("digest", F.xxhash64("one", "two", "n")).drop("one", "two", "n")
+
+
 def leaves(entries: DataFrame, deepest: int) -> DataFrame:
     """(tree, side, depth, node, digest): an order-free digest over a leaf's entries."""
-    one, two = F.xxhash64("key", "content"), F.xxhash64("content", F.lit("#"), "key")
-    return entries.groupBy("tree", "side", "depth", _leaf(deepest).alias("node")).agg(F.xxhash64(F.bit_xor(one), F.bit_xor(two), F.count("*")).alias("digest"))
+    return digested(leaf_sums(entries.withColumn("node", _leaf(deepest)), ["tree", "side", "depth", "node"]))
 
 
 def levels(bottom: DataFrame, deepest: int) -> list[DataFrame]:
@@ -79,8 +95,9 @@ def differing(bottom: DataFrame, deepest: int) -> DataFrame:
 
 
 def compared(touched: DataFrame) -> DataFrame:
-    """(tree, key, change, content, before) of entries of both sides (tree, side, key, content)."""
-    of = lambda side: F.max(F.when(F.col("side") == side, F.struct("content")))
+    """(tree, key, change, content, before) of entries of both sides (tree, side, key, content, and at, if a side may hold a key more than once: the last counts)."""
+    version = F.struct("at", "content") if "at" in touched.columns else F.struct("content")
+    of = lambda side: F.max(F.when(F.col("side") == side, version))
     both = touched.groupBy("tree", "key").agg(of("c").alias("c"), of("s").alias("s"))
     kind = F.when(F.col("s").isNull(), "added").when(F.col("c").isNull(), "removed").when(~F.col("c.content").eqNullSafe(F.col("s.content")), "changed")
     return both.withColumn("change", kind).where("change is not null").select("tree", "key", "change", F.col("c.content").alias("content"), F.col("s.content").alias("before"))
@@ -100,31 +117,56 @@ def changes(current: DataFrame, saved: DataFrame) -> DataFrame:
     return compared(entries.withColumn("node", _leaf(deepest)).join(found, ["tree", "depth", "node"], "left_semi"))
 
 
-def replay(scans: DataFrame, scan_files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Current and saved entries of each scan that ended well, a tree each, named by its scan_id.
+def listings(scans: DataFrame, scan_files: DataFrame) -> tuple[DataFrame, int]:
+    """What each scan listed (scan_id, next, ok, seq, done, depth, node, key, content), each path once, and the deepest depth.
 
-    In a collection (vault_id) scans follow each other by started_at. An ok scan's current tree is its listing. The
-    saved tree is the listing of the ok scan before, over which the done rows of the scans that broke off since are put,
-    the latest last. Of several rows of a scan and path the last listed counts; rows without path or scan are left out.
+    In a collection (vault_id) scans follow each other by started_at; next is the next scan that ended well, depth that of
+    the trees of the collection, which its largest scan sets. Of several rows of a scan and path the last listed counts;
+    rows without path or scan are left out.
     """
     order = Window.partitionBy("vault_id").orderBy("started_at", "scan_id")
     ok = F.coalesce(F.col("status") == "ok", F.lit(False))
     back = Window.partitionBy("vault_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     numbered = scans.dropDuplicates(["scan_id"]).withColumn("seq", F.row_number().over(order)).withColumn("next", F.last(F.when(ok, F.col("scan_id")), ignorenulls=True).over(back))
-    known = numbered.select("scan_id", "seq", "next", ok.alias("ok"))
-    rows = scan_files.where("path is not null and scan_id is not null").select("scan_id", "path", "content_hash", "done", "listed_at", "row_id").join(known, "scan_id")
+    sizes = scan_files.where("scan_id is not null").groupBy("scan_id").agg(F.count("*").alias("size"))
+    largest = F.max(F.coalesce("size", F.lit(0))).over(Window.partitionBy("vault_id"))
+    known = written(numbered.join(sizes, "scan_id", "left").withColumn("depth", _depth(F.greatest(largest, F.lit(1)))).select("scan_id", "seq", "next", ok.alias("ok"), "depth"), "scans")
+    deepest = known.agg(F.max("depth")).first()[0] or 0
+    rows = scan_files.where("path is not null and scan_id is not null").select("scan_id", F.col("path").alias("key"), "content_hash", "done", "listed_at", "row_id")
     version = F.struct("listed_at", "row_id", "content_hash")
-    listed = rows.groupBy("scan_id", "path").agg(F.max(version).alias("v"), F.max(F.coalesce("done", F.lit(False))).alias("done"), *[F.first(c).alias(c) for c in ("seq", "next", "ok")])
-    listed = written(listed.select("scan_id", "path", "v.content_hash", "done", "seq", "next", "ok"), "listed")
-    current = listed.where("ok").select(F.col("scan_id").alias("tree"), F.col("path").alias("key"), F.col("content_hash").alias("content"))
-    kept = listed.where("(ok or done) and next is not null")
-    saved = kept.groupBy(F.col("next").alias("tree"), F.col("path").alias("key")).agg(F.max(F.struct("seq", "content_hash")).alias("x")).select("tree", "key", F.col("x.content_hash").alias("content"))
-    return current, saved
+    once = rows.groupBy("scan_id", "key").agg(F.max(version).alias("v"), F.max(F.coalesce("done", F.lit(False))).alias("done"))
+    placed = once.join(known, "scan_id").withColumn("place", F.xxhash64("key")).withColumn("node", _leaf(deepest))
+    return written(placed.select("scan_id", "next", "ok", "seq", "done", "depth", "node", "key", F.col("v.content_hash").alias("content")), "listed"), deepest
 
 
 def changed_records(scans: DataFrame, scan_files: DataFrame) -> DataFrame:
-    """(scan_id, path): of each ok scan the paths that the collection's state doesn't hold with the same content."""
-    return changes(*replay(scans, scan_files)).where("change <> 'removed'").select(F.col("tree").alias("scan_id"), F.col("key").alias("path"))
+    """(scan_id, path): of each ok scan the paths that the collection's state doesn't hold with the same content.
+
+    Each ok scan's listing is digested once, and the digests are saved; the state that the next ok scan is held against is
+    that saved tree. The done rows of the scans that broke off in between are put into its leaves, the latest of a path
+    counting. Two trees are then compared from their roots, and only entries of leaves that differ are looked at.
+    """
+    listed, deepest = listings(scans, scan_files)
+    at_leaf = ["tree", "depth", "node"]
+    well = listed.where("ok").select("scan_id", "next", "depth", "node", "key", "content")
+    digests = written(leaf_sums(well, ["scan_id", "next", "depth", "node"]), "digests")
+    late = listed.where("NOT ok AND done AND next IS NOT NULL").groupBy(F.col("next").alias("tree"), "depth", "node", "key").agg(F.max(F.struct("seq", "content")).alias("x"))
+    late = written(late.select(*at_leaf, "key", "x.content"), "late")
+    before = well.where("next is not null").select(F.col("next").alias("tree"), "depth", "node", "key", "content").join(late.select(*at_leaf).distinct(), at_leaf, "left_semi")
+    # A late row takes the sum of the entry that it replaces out of its leaf and puts its own in.
+    one, two = _hashes()
+    sides = late.withColumn("side", F.lit("late")).unionByName(before.withColumn("side", F.lit("before"))).withColumns({"one": one, "two": two})
+    of = lambda side: F.count(F.when(F.col("side") == side, F.lit(1)))
+    moved = sides.groupBy(*at_leaf, "key").agg(F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"), (1 - of("before")).alias("n"), of("late").alias("late")).where("late > 0")
+    saved = digests.where("next is not null").select(F.col("next").alias("tree"), "depth", "node", "one", "two", "n").unionByName(moved.select(*at_leaf, "one", "two", "n"))
+    saved = saved.groupBy(*at_leaf).agg(F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"), F.sum("n").alias("n"))
+    now = digests.select(F.col("scan_id").alias("tree"), "depth", "node", "one", "two", "n")
+    both = digested(now.withColumn("side", F.lit("c")).unionByName(saved.withColumn("side", F.lit("s"))))
+    found = differing(written(both, "leaves"), deepest)
+    role = lambda tree, side: F.struct(F.col(tree).alias("tree"), F.lit(side).alias("side"), F.lit(0).alias("at"))
+    entries = well.select(F.inline(F.array(role("scan_id", "c"), role("next", "s"))), "depth", "node", "key", "content").where("tree is not null")
+    entries = entries.unionByName(late.withColumns({"side": F.lit("s"), "at": F.lit(1)}))
+    return compared(entries.join(found, at_leaf, "left_semi")).where("change <> 'removed'").select(F.col("tree").alias("scan_id"), F.col("key").alias("path"))
 
 
 class MerkleStore:

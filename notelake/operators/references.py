@@ -1,8 +1,8 @@
 """References to records that don't exist: a linear merge of references and parent validity intervals.
 
 References and the beginnings and ends of parents are brought together by key (vault_id, type, name) and sorted by
-time; one pass over each key keeps the number of parents alive. Keys that very many references use are found by a
-bounded sketch and salted: their references are dealt out, their parents repeated.
+time; one pass over each key keeps the number of parents alive. Keys that very many references use are found by counting
+and salted: their references are dealt out, their parents repeated. References that name no key have no parent and take no part.
 """
 
 from __future__ import annotations
@@ -10,15 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 KEY = ["vault_id", "type", "name"]
 LINK = r"^\[\[([^\]|]+)(?:\|[^\]|]*)?\]\]\z"
 
 #: References of one key that go to one task, about.
 PER_TASK = 500_000
 
-#: Keys that the sketch follows, and the most that can be salted.
-FOLLOWED, MOST = 20_000, 1_000
-
 FIRST, LAST = "timestamp_ntz '0001-01-01 00:00:00'", "timestamp_ntz '9999-12-31 00:00:00'"
 
 
@@ -37,13 +36,10 @@ def references(links: DataFrame, schema_fields: DataFrame) -> DataFrame:
     return named.select("link_id", "type_name", "linked_at", "vault_id", F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.col("default_type")).alias("type"), F.element_at(parts, -1).alias("name"))
 
 
-def hot_keys(refs: DataFrame, per_task: int) -> list[tuple]:
-    """KEY and number of tasks of each key with more than per_task references; the sketch holds FOLLOWED keys at most."""
-    total = refs.count() if per_task > 0 else 0
-    if total <= per_task:
-        return []
-    top = refs.select(F.struct(*KEY).alias("k")).agg(F.expr(f"approx_top_k(to_json(k), {MOST}, {FOLLOWED})").alias("top")).select(F.explode("top").alias("t")).select(F.from_json("t.item", "vault_id long, type string, name string").alias("k"), "t.count")
-    return [(r["k"]["vault_id"], r["k"]["type"], r["k"]["name"], -(-r["count"] // per_task)) for r in top.where(F.col("count") > per_task).collect()]
+def hot_keys(refs: DataFrame, per_task: int) -> DataFrame:
+    """KEY and tasks, the number of parts of each key with more than per_task references. A written table of at most a row for every per_task references."""
+    counts = refs.groupBy(*KEY).count().where(F.col("count") > per_task)
+    return written(counts.select(*KEY, F.ceil(F.col("count") / max(per_task, 1)).alias("tasks")), "hot")
 
 
 def orphans(links: DataFrame, records: DataFrame, schema_fields: DataFrame, per_task: int = PER_TASK) -> DataFrame:
@@ -54,16 +50,17 @@ def orphans(links: DataFrame, records: DataFrame, schema_fields: DataFrame, per_
     linked_at counts as after everything, a null created_at as before everything. Keys with a null part have no
     record. Repeated rows count once.
     """
-    refs = references(links, schema_fields)
+    each = references(links, schema_fields)
+    whole = " AND ".join(f"{k} IS NOT NULL" for k in KEY)
+    refs, keyless = each.where(whole), each.where(f"NOT ({whole})")
     hot = hot_keys(refs, per_task)
-    salts = links.sparkSession.createDataFrame(hot, "vault_id long, type string, name string, tasks long")
     time = lambda c, default: F.coalesce(F.col(c).cast("timestamp_ntz"), F.expr(default))
     parents = records.where("vault_id is not null and type_name is not null and name is not null").select("vault_id", F.col("type_name").alias("type"), "name", time("created_at", FIRST).alias("begin"), F.col("deleted_at").cast("timestamp_ntz").alias("end"))
-    if hot:
-        refs = refs.join(F.broadcast(salts), KEY, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("link_id"), "tasks"), F.lit(0))).drop("tasks")
-        parents = parents.join(F.broadcast(salts), KEY, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
-    else:
+    if hot.isEmpty():
         refs, parents = refs.withColumn("salt", F.lit(0).cast("long")), parents.withColumn("salt", F.lit(0).cast("long"))
+    else:
+        refs = refs.join(hot, KEY, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("link_id"), "tasks"), F.lit(0))).drop("tasks")
+        parents = parents.join(hot, KEY, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
     lives = F.coalesce(F.col("end") > F.col("begin"), F.lit(True))
     begins = F.struct(F.col("begin").alias("at"), F.when(lives, 1).otherwise(0).alias("step"), F.col("begin").alias("born"))
     ends = F.when(lives & F.col("end").isNotNull(), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("timestamp_ntz").alias("born")))
@@ -75,7 +72,8 @@ def orphans(links: DataFrame, records: DataFrame, schema_fields: DataFrame, per_
     newest = F.max("born").over(sweep.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     merged = both.withColumn("alive", alive).withColumn("newest", newest).where("asks = 1 and alive = 0")
     reason = F.when(F.col("newest").isNull(), "missing").when(F.col("newest") > F.col("at"), "late").otherwise("deleted")
-    return merged.select("link_id", "type_name", "linked_at", reason.alias("reason")).distinct()
+    found = merged.select("link_id", "type_name", "linked_at", reason.alias("reason"))
+    return found.unionByName(keyless.select("link_id", "type_name", "linked_at", F.lit("missing").alias("reason"))).distinct()
 
 
 def orphan_report(found: DataFrame) -> DataFrame:
