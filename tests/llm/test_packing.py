@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from notelake.llm.packing import best_fit, fill, pack
+from notelake.llm.packing import Gaps, fill, pack, plan, sweep
 from notelake.llm.tokens import encoder
 
 CONTAINERS = "container_id int, label string, capacity int"
@@ -25,24 +25,44 @@ def one_by_one(capacity, counts):
     return len(gaps)
 
 
+def loads(counts, segments):
+    """What each container holds, of segments (size, rank, n, bin, per); every text must be in one."""
+    used = defaultdict(int)
+    for size, n in counts.items():
+        ranks = Counter()
+        for _, rank, k, first, per in (x for x in segments if x[0] == size):
+            for i in range(k):
+                used[first + i // per] += size
+                ranks[rank + i] += 1
+        assert ranks == Counter(range(n))
+    return used
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 40).flatmap(lambda c: st.tuples(st.just(c), st.dictionaries(st.integers(1, c), st.integers(1, 12), max_size=12))))
-def test_plan_is_best_fit(case):
+def test_a_sweep_is_best_fit_decreasing(case):
     capacity, counts = case
-    segments, bins = best_fit(capacity, counts)
-    used, placed = defaultdict(int), Counter()
-    for size, n in counts.items():
-        own = sorted(s for s in segments if s[0] == size)
-        for rank in range(n):
-            _, at, first, per = [s for s in own if s[1] <= rank][-1]
-            used[first + (rank - at) // per] += size
-            placed[size] += 1
-    assert placed == Counter(counts) and max(used.values(), default=0) <= capacity and set(used) == set(range(bins)) and bins == one_by_one(capacity, counts)
+    segments, left = sweep(capacity, [(size, 0, n) for size, n in counts.items()], Gaps(), 0)
+    used = loads(counts, segments)
+    assert not left and max(used.values(), default=0) <= capacity and set(used) == set(range(len(used))) and len(used) == one_by_one(capacity, counts)
 
 
 def test_many_items_cost_no_more():
-    segments, bins = best_fit(8192, {n: 10**9 + n for n in range(1, 8193)})
-    assert len(segments) < 40_000 and bins >= sum(n * (10**9 + n) for n in range(1, 8193)) / 8192
+    segments, _ = sweep(8192, [(n, 0, 10**9 + n) for n in range(1, 8193)], Gaps(), 0)
+    assert len(segments) < 40_000 and sum(s[0] * s[2] for s in segments) == sum(n * (10**9 + n) for n in range(1, 8193))
+
+
+def test_supersteps_over_ranges(spark):
+    """Ranges swept apart and merged place every text, and need hardly more containers than one sweep."""
+    counts = {box: {size: (size * 7 + box) % 13 + 1 for size in range(1, capacity + 1, box)} for box, capacity in ((1, 60), (2, 300))}
+    rows = [(box, {1: 60, 2: 300}[box], size, n) for box, own in counts.items() for size, n in own.items()]
+    df = spark.createDataFrame(rows, "container_id int, capacity int, size int, n int")
+    for range_rows in (10, 100_000):
+        out = [tuple(r[c] for c in ("container_id", "size", "rank", "n", "bin", "per")) for r in plan(df, range_rows).collect()]
+        for box, capacity in ((1, 60), (2, 300)):
+            used = loads(counts[box], [r[1:] for r in out if r[0] == box])
+            best = one_by_one(capacity, counts[box])
+            assert max(used.values()) <= capacity and (len(used) == best if range_rows > 10 else len(used) <= best * 1.05 + 1)
 
 
 def check(spark, texts, capacities, run_rows):
