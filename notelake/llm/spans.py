@@ -26,6 +26,8 @@ from ..session import ship, written
 
 SPAN = 160
 GRAM = 81
+#: Code points of the documents that one automaton is for, about.
+SHARD_CHARS = 32_000_000
 #: Classes of one passage above which they are joined on their windows instead of with each other.
 CROWD = 160
 
@@ -144,44 +146,53 @@ def _confirm(gram: int):
 
 
 def _stream(span: int, gram: int):
-    """Streams a shard's documents through the automaton of its passages."""
+    """Streams a shard's documents, batch by batch, through the automaton of its passages, which come before them."""
     around = span - gram
 
-    def run(key: tuple, known: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for i, passage in zip(known["passage_id"], known["passage"]):
-            automaton.add_word(passage, int(i))
-        rows: set[tuple] = set()
-        if len(automaton):
-            automaton.make_automaton()
-            for doc, text in zip(docs["doc_id"], docs["text"]):
-                for end, i in automaton.iter(text):
-                    begin = end + 1 - gram
-                    rows.add((i, text[begin : end + 1], doc, text[max(0, begin - around) : begin], text[end + 1 : end + 1 + around]))
-        return pd.DataFrame(list(rows), columns=["passage_id", "passage", "doc_id", "before", "after"])
+        shard, automaton, ready = None, None, False
+        for batch in batches:
+            rows: set[tuple] = set()
+            for row in batch.itertuples(index=False):
+                if row.shard != shard:
+                    shard, automaton, ready = row.shard, ahocorasick.Automaton(ahocorasick.STORE_INTS), False
+                if row.kind == 0:
+                    automaton.add_word(row.text, int(row.id))
+                    continue
+                if not ready:
+                    ready = True
+                    automaton.make_automaton()
+                if len(automaton):
+                    text = row.text
+                    for end, i in automaton.iter(text):
+                        begin = end + 1 - gram
+                        rows.add((i, text[begin : end + 1], row.id, text[max(0, begin - around) : begin], text[end + 1 : end + 1 + around]))
+            yield pd.DataFrame(list(rows), columns=["passage_id", "passage", "doc_id", "before", "after"])
 
     return run
 
 
-def occurrences(documents: DataFrame, span: int = SPAN, gram: int = GRAM, shards: int | None = None) -> DataFrame:
-    """(passage_id, doc_id, before, after): each place where a document holds a confirmed passage, with up to span - gram code points on either side.
+def occurrences(documents: DataFrame, span: int = SPAN, gram: int = GRAM, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """(passage_id, passage, doc_id, before, after): each place where a document holds a confirmed passage, with up to span - gram code points on either side.
 
-    shards: parts of the documents with an automaton each; the session's shuffle partitions times 4, if not given,
-    so that a part's size doesn't grow with the data on a cluster that sizes its partitions.
+    shard_chars: code points of the documents of an automaton, about. A shard's passages are those that its documents hold, so
+    neither grows with the data; its documents are streamed, not gathered.
     """
     spark = documents.sparkSession
-    shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = passages(documents, span, gram).groupBy("doc_id").agg(F.collect_list("gram").alias("grams"))
     texts = written(documents.select("doc_id", "text").join(held, "doc_id"), "spans")
+    chars = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // shard_chars))
     found = texts.mapInPandas(_confirm(gram), "doc_id long, passage string")
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long")
     found = written(found.withColumn("passage_id", F.xxhash64("passage")).withColumn("shard", shard), "found")
     confirmed = found.groupBy("passage").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("passage")
-    known = found.join(confirmed, "passage").select("shard", "passage_id", "passage").distinct()
-    placed = texts.select("doc_id", "text", shard.alias("shard"))
-    return known.groupBy("shard").cogroup(placed.groupBy("shard")).applyInPandas(_stream(span, gram), "passage_id long, passage string, doc_id long, before string, after string")
+    known = found.join(confirmed, "passage").select("shard", F.lit(0).alias("kind"), F.col("passage_id").alias("id"), F.col("passage").alias("text")).distinct()
+    placed = texts.select(shard.alias("shard"), F.lit(1).alias("kind"), F.col("doc_id").alias("id"), "text")
+    ordered = known.unionByName(placed).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    return ordered.mapInPandas(_stream(span, gram), "passage_id long, passage string, doc_id long, before string, after string")
 
 
 def _alike(span: int, gram: int):
@@ -204,14 +215,14 @@ def _alike(span: int, gram: int):
     return run
 
 
-def shared_pairs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, shards: int | None = None) -> DataFrame:
+def shared_pairs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(doc_a, doc_b), smaller first: each pair of documents that share an identical stretch of span or more code points.
 
     Null texts, null ids and texts shorter than span share nothing; text is compared as stored. Rows of one doc_id are one
     document. No pair is dropped, so a stretch that m documents share gives m * (m - 1) / 2 rows; for such data
     span_classes() has the classes and membership without the pairs.
     """
-    members, links = span_classes(documents, span, gram, shards)
+    members, links = span_classes(documents, span, gram, shard_chars)
     within = members.where("enough").select("class_id", "doc_id")
     same = within.alias("x").join(within.alias("y"), "class_id").where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("doc_a"), F.col("y.doc_id").alias("doc_b"))
     one = members.select(F.col("class_id").alias("c1"), F.col("doc_id").alias("p"))
@@ -220,13 +231,13 @@ def shared_pairs(documents: DataFrame, span: int = SPAN, gram: int = GRAM, shard
     return same.unionByName(other).distinct()
 
 
-def span_classes(documents: DataFrame, span: int = SPAN, gram: int = GRAM, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
+def span_classes(documents: DataFrame, span: int = SPAN, gram: int = GRAM, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame]:
     """Members (class_id, doc_id, enough) and links (c1, c2) between classes that share a stretch.
 
     A class holds the occurrences of one passage in the same surroundings; enough: these alone make up span code
     points, so that all its documents share a stretch.
     """
-    around = occurrences(documents, span, gram, shards).withColumn("class_id", F.xxhash64("passage_id", "before", "after"))
+    around = occurrences(documents, span, gram, shard_chars).withColumn("class_id", F.xxhash64("passage_id", "before", "after"))
     around = written(around, "around")
     length = F.char_length("before") + gram + F.char_length("after")
     members = around.select("class_id", "doc_id", (length >= span).alias("enough")).distinct()
@@ -262,12 +273,12 @@ def _windows(span: int):
     return run
 
 
-def shared_amounts(documents: DataFrame, span: int = SPAN, gram: int = GRAM, shards: int | None = None) -> DataFrame:
+def shared_amounts(documents: DataFrame, span: int = SPAN, gram: int = GRAM, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(doc_id, n_chars, shared_chars, partners) of every document: how many of its code points lie in a stretch that another document has too.
 
     A document without such a stretch, also one that is null or empty, comes out with 0.
     """
-    pairs = written(shared_pairs(documents, span, gram, shards), "pairs")
+    pairs = written(shared_pairs(documents, span, gram, shard_chars), "pairs")
     both = pairs.unionByName(pairs.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
     own = documents.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a"))
     its = documents.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
