@@ -96,17 +96,18 @@ class Graph:
             parts.append(self.owner.tables[name].select(node_id(F.col("_record"), F.lit(name)).alias("id"), F.lit(name).alias("type"), F.map_from_entries(F.filter(entries, lambda x: x["v"].isNotNull())).alias("attrs")))
         return reduce(DataFrame.unionByName, parts)
 
-    def reach(self, seeds: DataFrame, depth: int = 50) -> DataFrame:
-        """(id, steps): nodes that seeds (id) reach over edges, with the fewest steps; at most depth."""
+    def reach(self, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+        """(id, steps): nodes that seeds (id) reach over edges, with the fewest steps; at most depth, if given. A step writes its new nodes only."""
         edges = written(self.edges().select("source", "target"), "edges")
-        seen = written(seeds.select("id").distinct().withColumn("steps", F.lit(0)), "seen")
-        front = seen
-        for step in range(1, depth + 1):
+        front = written(seeds.select("id").distinct().withColumn("steps", F.lit(0)), "front")
+        seen, step = front, 0
+        while depth is None or step < depth:
+            step += 1
             found = front.join(edges, front["id"] == edges["source"]).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti")
             front = written(found.withColumn("steps", F.lit(step)), "front")
             if front.isEmpty():
                 break
-            seen = written(seen.unionByName(front), "seen")
+            seen = seen.unionByName(front)
         return seen
 
     def cypher_tables(self) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:

@@ -112,38 +112,51 @@ def homogeneity(owner, threshold: float = 0.0, details: bool = True) -> list[Dat
     return out
 
 
-def drift(owner) -> list[DataFrame]:
-    """R-2: kinds of values beside each other in fields that hold no links; dates count as text. Typed tables have none."""
+def drift(owner, details: bool = True) -> list[DataFrame]:
+    """R-2: kinds of values beside each other in fields that hold no links; dates count as text. Typed tables have none. details lists the records of each kind; without it only counts are kept."""
     if owner.cells is None:
         return []
     skip = [(n, f.name) for n, ts in owner.schema.types.items() for f in ts.fields if f.effective_type in LINK_TYPES or f.type == FieldType.FORMULA]
     cells = owner.cells.where("field is not null and kind <> 'null'")
     if skip:
-        cells = cells.join(owner.spark.createDataFrame(skip, "type string, field string"), ["type", "field"], "left_anti")
+        cells = cells.join(F.broadcast(owner.spark.createDataFrame(skip, "type string, field string")), ["type", "field"], "left_anti")
     python = F.when(F.col("kind").isin("date", "datetime"), "str").when(F.col("kind") == "map", "dict").otherwise(F.col("kind"))
-    kinds = cells.groupBy("type", "field", python.alias("k")).agg(F.sort_array(F.collect_list("record")).alias("records"))
+    kinds = cells.groupBy("type", "field", python.alias("k")).agg(_held("record", details).alias("records"))
     bad = kinds.groupBy("type", "field").agg(F.sort_array(F.collect_list(F.struct("k", "records"))).alias("by")).where(F.size("by") > 1)
-    said = F.concat(F.lit("Field '"), "field", F.lit("' has inconsistent value types: "), F.array_join(F.transform("by", lambda x: x["k"]), ", "))
+    said = F.concat(F.lit(RULES["R-2"] + ", '"), "field", F.lit("': "), F.array_join(F.transform("by", lambda x: x["k"]), ", "))
     return [_shape(bad, "R-2", "warning", said, F.to_json(F.map_from_entries("by")))]
 
 
-def link_rules(owner) -> list[DataFrame]:
+def _held(column: str, details: bool) -> Column:
+    return F.sort_array(F.collect_list(column)) if details else F.count(column)
+
+
+def link_rules(owner, details: bool = True) -> list[DataFrame]:
     """R-3, R-4 and R-6 over the edges as loaded."""
     e = relations.edges(owner.raw_tables, owner.raw_schema).where("folder is not null").select(F.col("src_type").alias("type"), "src", "field", "folder", "name", "raw")
-    folders = e.groupBy("type", "field", "folder").agg(F.sort_array(F.collect_list("src")).alias("records"))
-    several = folders.groupBy("type", "field").agg(F.sort_array(F.collect_list(F.struct("folder", "records"))).alias("by")).where(F.size("by") > 1)
-    said = F.concat(F.lit("Field '"), "field", F.lit("' has links to multiple folders: "), F.array_join(F.transform("by", lambda x: x["folder"]), ", "))
-    r3 = _shape(several, "R-3", "warning", said, F.to_json(F.map_from_entries("by")))
     known = owner.spark.createDataFrame([(n,) for n in owner.raw_schema.types], "folder string")
-    strange = e.join(F.broadcast(known), "folder", "left_anti")  # one row for each type
     on_disk = relations.records(owner.tables if owner.layout is None else {n: f.select("_record") for n, f in owner.files.items()})
-    orphaned = e.join(F.broadcast(known), "folder", "left_semi").join(on_disk, ["folder", "name"], "left_anti")
+    return edge_rules(e, known, on_disk, details)
+
+
+def edge_rules(e: DataFrame, known: DataFrame, on_disk: DataFrame, details: bool = True) -> list[DataFrame]:
+    """R-3, R-4 and R-6 over edges (type, src, field, folder, name, raw), the known types (folder) and their records (folder, name). details lists records and links; without it only counts are kept."""
+    folders = e.groupBy("type", "field", "folder").agg(_held("src", details).alias("records"))
+    several = folders.groupBy("type", "field").agg(F.sort_array(F.collect_list(F.struct("folder", "records"))).alias("by")).where(F.size("by") > 1)
+    said = F.concat(F.lit(RULES["R-3"] + ", '"), "field", F.lit("': "), F.array_join(F.transform("by", lambda x: x["folder"]), ", "))
+    r3 = _shape(several, "R-3", "warning", said, F.to_json(F.map_from_entries("by")))
+    types = F.broadcast(known)  # a row for each type
+    strange = e.join(types, "folder", "left_anti")
+    orphaned = e.join(types, "folder", "left_semi").join(on_disk, ["folder", "name"], "left_anti")
     out = [r3]
     for rule, bad in (("R-4", strange), ("R-6", orphaned)):
-        fields = bad.groupBy("type", "src", "field").agg(F.collect_list("raw").alias("links"))
-        rows = fields.groupBy("type", "src").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "links")))).alias("fields"))
-        types = rows.groupBy("type").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("src", "fields")))).alias("d"))
-        out.append(_shape(types, rule, "warning", F.lit(RULES[rule]), F.col("d")))
+        if details:
+            fields = bad.groupBy("type", "src", "field").agg(F.collect_list("raw").alias("links"))
+            rows = fields.groupBy("type", "src").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "links")))).alias("fields"))
+            found = rows.groupBy("type").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("src", "fields")))).alias("d"))
+        else:
+            found = bad.groupBy("type").agg(F.to_json(F.struct(F.count("*").alias("links"))).alias("d"))
+        out.append(_shape(found, rule, "warning", F.lit(RULES[rule]), F.col("d")))
     return out
 
 
@@ -194,10 +207,10 @@ def output_rule(owner) -> list[DataFrame]:
 
 
 def lint(owner, homogeneity_threshold: float = 0.0, details: bool = True) -> DataFrame:
-    """All violations of a collection (VIOLATIONS). details=False leaves out the lists of records of R-1, which grow with a type."""
+    """All violations of a collection (VIOLATIONS). details=False keeps counts instead of the lists of records of R-1 to R-4 and R-6, which grow with a type."""
     spark: SparkSession = owner.spark
     known = spark.createDataFrame([*structure(owner), *formula_rules(owner)], VIOLATIONS)
-    parts = [known, *strange_entries(owner), portable_names(owner), *homogeneity(owner, homogeneity_threshold, details), *drift(owner), *link_rules(owner), *output_rule(owner), *pair_rules(owner)]
+    parts = [known, *strange_entries(owner), portable_names(owner), *homogeneity(owner, homogeneity_threshold, details), *drift(owner, details), *link_rules(owner, details), *output_rule(owner), *pair_rules(owner)]
     return reduce(DataFrame.unionByName, parts)
 
 

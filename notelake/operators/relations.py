@@ -59,7 +59,7 @@ def linked_to(target: str):
 
 def drop_dangling(tables: dict[str, DataFrame], schema: Schema) -> dict[str, DataFrame]:
     """Tables without dangling links: a list loses them and keeps its order, a scalar becomes null."""
-    bad = dangling(tables, schema)
+    bad = written(dangling(tables, schema), "dangling")  # read once for each type
     out = {}
     for name, ts in schema.types.items():
         own = [f for f in ts.links() if f.type != FieldType.FORMULA]
@@ -137,6 +137,8 @@ def resolve_pair(tables: dict[str, DataFrame], schema: Schema, pair: tuple[str,
         missing = F.array_except(F.coalesce(F.col("__need"), F.array().cast("array<string>")), F.transform(kept, links.link_name))
         merged = F.concat(kept, F.transform(missing, linked_to(target)))
         scalar = known is not None and known.effective_type == FieldType.LINK
+        if scalar:  # made once, for the question and for the result
+            joined, merged = written(joined.withColumn("__merged", merged).drop("__need"), "side"), F.col("__merged")
         many = scalar and not joined.where(F.size(merged) > 1).isEmpty()
         if many and not expand_to_lists:
             raise PairError(f"{pair[side]} would need several links in a scalar field")

@@ -88,8 +88,9 @@ class RowContext:
         own = [relations._as_array(f) for f in ts.fields if f.type in relations.EDGE_TYPES]
         empty = F.array().cast("array<string>")
         meta["links"] = _LIST(STR).of(F.concat(*[F.coalesce(F.filter(c, lambda x: x.isNotNull()), empty) for c in own]) if own else empty)
-        if "tags" in ts:
-            meta["tags"] = VALUES.get(ts["tags"].effective_type, STR).of(F.col("tags"))
+        own_tags = F.col("tags") if "tags" in ts else F.lit(None).cast("string")  # a single one is a list of it
+        own_tags = own_tags.cast("array<string>") if "tags" in ts and ts["tags"].spark.startswith("array") else F.when(own_tags.isNotNull(), F.array(own_tags.cast("string")))
+        meta["tags"] = _LIST(STR).of(F.coalesce(own_tags, empty))
         if _uses(trees, "backlinks"):
             table = relations.with_backlinks(table, type_name, relations.backlinks(tables, schema))
             meta["backlinks"] = _LIST(STR).of(F.col("__backlinks"))

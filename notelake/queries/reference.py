@@ -8,9 +8,11 @@ from __future__ import annotations
 import datetime
 import uuid
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..collection import Collection
 from ..functions import infer as inference
@@ -410,6 +412,32 @@ def any_object_methods(spark, d):
     return computed(lake(spark, d, "region", "nation"), "nation", out)
 
 
+@query(
+    """SELECT p_partkey::VARCHAR AS _record, array_to_string(list_transform(string_split(p_type, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title, p_name AS trimmed, p_name <> '' AS truthy, p_size <> 0 AS sized, 3 AS flat, DATE '1998-08-02' AS today,
+    '.md' AS ext, 'part' AS folder, true AS yes, false AS no, p_partkey::VARCHAR AS named, 0 AS tags, false AS tagged, p_partkey::VARCHAR AS file FROM part"""
+)
+def more_methods(spark, d):
+    """STR-6, STR-7, ANY-1, LST-4, GLB-2, GLB-6, FIL-1, FIL-4, FIL-7, FIL-9, FIL-12, EXP-3."""
+    out = {"title": "p_type.title()", "trimmed": "('  ' + p_name + ' ').trim()", "truthy": "p_name.isTruthy()", "sized": "p_size.isTruthy()", "flat": "[[1, 2], [3]].flat().length", "today": "today()", "ext": "file.ext", "folder": "file.path.split('/')[1]", "yes": "true", "no": "!true", "named": "file.basename", "tags": "file.tags.length", "tagged": "file.hasTag('x')", "file": "file.name"}
+    return computed(lake(spark, d, "part"), "part", out)
+
+
+@query("SELECT o_orderkey::VARCHAR AS _record, c_name AS customer FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def file_of_link(spark, d):
+    """GLB-6, FIL-8: the file that a link names."""
+    return computed(lake(spark, d, "customer", "orders"), "orders", {"customer": "file(o_custkey).properties.c_name"})
+
+
+@query("""SELECT p_partkey::VARCHAR AS _record, p_brand, p_size, row_number() OVER (ORDER BY p_brand DESC, p_size, p_partkey::VARCHAR) AS place FROM part""")
+def view_order(spark, d):
+    """AGG-14, SRT-1: the order of a view's rows, by the group, then the sort, then the record."""
+    c = lake(spark, d, "part")
+    view = {"name": "v", "order": ["file.name", "p_size"], "groupBy": {"property": "p_brand", "direction": "DESC"}, "sort": [{"property": "p_size"}, {"property": "file.name"}]}
+    rows = views.Table(c, "part", view).df()
+    placed = rows.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))  # the order that the rows come out in
+    return spark.createDataFrame(placed, T.StructType([*rows.schema.fields, T.StructField("place", T.LongType())])).select("_record", "p_brand", "p_size", "place")
+
+
 # -- lint ----------------------------------------------------------------------------------------------------------
 
 
@@ -421,35 +449,42 @@ def lint_r1(spark, d):
     return lint.homogeneity(c, 0.0, details=False)[0].select("type_name", "field_name", "message")
 
 
-@query("""SELECT type_name AS type, field_name AS field, string_agg(DISTINCT k, ',' ORDER BY k) AS kinds FROM (SELECT type_name, field_name, CASE WHEN regexp_full_match(cell_value, '-?[0-9]+') THEN 'int' WHEN lower(cell_value) IN ('true', 'false') THEN 'bool' ELSE 'str' END AS k FROM cells WHERE cell_value IS NOT NULL)
-    GROUP BY ALL HAVING count(DISTINCT k) > 1""")
+@query("""SELECT type_name, field_name, 'a field with values of several kinds, ''' || field_name || ''': ' || string_agg(k, ', ' ORDER BY k) AS message, '{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}' AS details
+    FROM (SELECT type_name, field_name, CASE WHEN regexp_full_match(cell_value, '-?[0-9]+') THEN 'int' WHEN lower(cell_value) IN ('true', 'false') THEN 'bool' ELSE 'str' END AS k, count(*) AS n FROM cells WHERE cell_value IS NOT NULL AND type_name IS NOT NULL GROUP BY ALL)
+    WHERE (type_name, field_name) NOT IN (SELECT (type_name, field_name) FROM schema_fields WHERE field_type IN ('link', 'list[link]')) GROUP BY type_name, field_name HAVING count(*) > 1""")
 def lint_r2(spark, d):
-    """R-2, AGG-5."""
+    """R-2, AGG-5, through the rule: counts only."""
     v = F.col("cell_value")
-    kind = F.when(v.rlike(r"^-?[0-9]+\z"), "int").when(F.lower(v).isin("true", "false"), "bool").otherwise("str")
-    kinds = table(spark, d, "cells").where(v.isNotNull()).groupBy(F.col("type_name").alias("type"), F.col("field_name").alias("field")).agg(F.array_sort(F.collect_set(kind)).alias("kinds"))
-    return kinds.where(F.size("kinds") > 1).select("type", "field", F.array_join("kinds", ",").alias("kinds"))
+    kind = F.when(v.isNull(), "null").when(v.rlike(r"^-?[0-9]+\z"), "int").when(F.lower(v).isin("true", "false"), "bool").otherwise("str")
+    own = table(spark, d, "cells").where("type_name is not null").select(F.col("type_name").alias("type"), F.col("record_id").cast("string").alias("record"), F.col("field_name").alias("field"), kind.alias("kind"))
+    schema = Schema({})
+    for r in table(spark, d, "schema_fields").collect():
+        kinds = {"link": FieldType.LINK, "list[link]": FieldType.LIST_LINKS}
+        schema.types.setdefault(r["type_name"], TypeSchema(r["type_name"])).fields.append(FieldSchema(r["field_name"], kinds.get(r["field_type"], FieldType.STRING)))
+    return lint.drift(SimpleNamespace(spark=spark, cells=own, schema=schema), details=False)[0].select("type_name", "field_name", "message", "details")
 
 
 RAW_LINKS = """WITH p AS (SELECT type_name, field_name, string_split(nullif(regexp_extract(trim(target, ' '), '^\\[\\[([^\\]|]+?)(\\|[^\\]]+)?\\]\\]$', 1), ''), '/') AS s FROM record_links), e AS (SELECT type_name, field_name, trim(s[-2], ' ') AS folder, trim(s[-1], ' ') AS name FROM p WHERE s[-2] IS NOT NULL)"""
 
 
-def raw_links(spark, d) -> DataFrame:
+def edge_rule(spark, d, rule: int) -> DataFrame:
+    """R-3, R-4 or R-6 over record_links, with the types and names of records."""
     t = F.col("target")
-    return table(spark, d, "record_links").select(F.col("type_name").alias("type"), F.col("field_name").alias("field"), F.col("link_id").cast("string").alias("src"), links.link_folder(t).alias("folder"), links.link_name(t).alias("name")).where("folder is not null")
+    edges = table(spark, d, "record_links").select(F.col("type_name").alias("type"), F.col("field_name").alias("field"), F.col("link_id").cast("string").alias("src"), links.link_folder(t).alias("folder"), links.link_name(t).alias("name"), t.alias("raw")).where("folder is not null")
+    records = table(spark, d, "records").select(F.col("type_name").alias("folder"), "name").distinct()
+    return lint.edge_rules(edges, records.select("folder").distinct(), records, details=False)[rule]
 
 
-@query(RAW_LINKS + " SELECT type_name AS type, field_name AS field, string_agg(DISTINCT folder, ',' ORDER BY folder) AS folders FROM e GROUP BY ALL")
+@query(RAW_LINKS + """ SELECT type_name, field_name, 'a field with links to several folders, ''' || field_name || ''': ' || string_agg(folder, ', ' ORDER BY folder) AS message FROM (SELECT DISTINCT type_name, field_name, folder FROM e) GROUP BY type_name, field_name HAVING count(*) > 1""")
 def lint_r3(spark, d):
-    """R-3, AGG-6: folders of the links of a field."""
-    return raw_links(spark, d).groupBy("type", "field").agg(F.array_join(F.array_sort(F.collect_set("folder")), ",").alias("folders"))
+    """R-3, AGG-6, through the rule: folders of the links of a field."""
+    return edge_rule(spark, d, 0).select("type_name", "field_name", "message")
 
 
-@query(RAW_LINKS + " SELECT type_name AS type, count(*) AS links FROM e WHERE folder NOT IN (SELECT DISTINCT type_name FROM records) GROUP BY ALL")
+@query(RAW_LINKS + """ SELECT type_name, 'R-4' AS rule, '{"links":' || count(*) || '}' AS details FROM e WHERE folder NOT IN (SELECT DISTINCT type_name FROM records) GROUP BY ALL""")
 def lint_r4(spark, d):
-    """R-4, JOI-7: links to folders that are no type."""
-    known = table(spark, d, "records").select(F.col("type_name").alias("folder")).distinct()
-    return raw_links(spark, d).join(known, "folder", "left_anti").groupBy("type").agg(F.count("*").alias("links"))
+    """R-4, AGG-7, JOI-7, through the rule: links to folders that are no type."""
+    return edge_rule(spark, d, 1).select("type_name", "rule", "details")
 
 
 @query("SELECT 'customer' AS type_name, 'orders' AS field_name, 'customer.orders: ' || count(*) || ' backlinks missing across ' || count(DISTINCT o_custkey) || ' records' AS message FROM orders WHERE o_orderstatus <> 'F' HAVING count(*) > 0")
@@ -459,22 +494,18 @@ def lint_r5(spark, d):
     return lint.pair_rules(c)[0].select("type_name", "field_name", "message")
 
 
-@query(RAW_LINKS + " SELECT type_name AS type, count(*) AS links FROM e WHERE folder IN (SELECT DISTINCT type_name FROM records) AND NOT EXISTS (SELECT 1 FROM records r WHERE r.type_name = e.folder AND r.name = e.name) GROUP BY ALL")
+@query(RAW_LINKS + """ SELECT type_name, 'R-6' AS rule, '{"links":' || count(*) || '}' AS details FROM e WHERE folder IN (SELECT DISTINCT type_name FROM records) AND NOT EXISTS (SELECT 1 FROM records r WHERE r.type_name = e.folder AND r.name = e.name) GROUP BY ALL""")
 def lint_r6(spark, d):
-    """R-6, JOI-7: links to a known folder without the record."""
-    r = table(spark, d, "records").select(F.col("type_name").alias("folder"), "name").distinct()
-    known = r.select("folder").distinct()
-    return raw_links(spark, d).join(known, "folder", "left_semi").join(r, ["folder", "name"], "left_anti").groupBy("type").agg(F.count("*").alias("links"))
+    """R-6, AGG-7, JOI-7, through the rule: links to a known folder without the record."""
+    return edge_rule(spark, d, 2).select("type_name", "rule", "details")
 
 
-@query("SELECT DISTINCT record_id, name FROM records WHERE regexp_matches(name, '[<>:\"/\\\\|?*]') OR nfc_normalize(name) <> name")
+@query("SELECT DISTINCT type_name, 'a name that some systems can''t store: ' || name AS message FROM records WHERE regexp_matches(name, '[<>:\"/\\\\|?*]') OR nfc_normalize(name) <> name")
 def lint_s5(spark, d):
-    """S-5."""
-    from ..functions.python_text import nfc
-
-    name = F.col("name")
-    bad = name.rlike(lint.INVALID) | (name.rlike(r"[^\x00-\x7F]") & (nfc(name) != name))
-    return table(spark, d, "records").select("record_id", "name").distinct().where(bad)
+    """S-5, through the rule."""
+    names = table(spark, d, "records").select("type_name", F.col("name").alias("_record")).where("_record is not null").distinct()
+    types = [r[0] for r in names.select("type_name").where("type_name is not null").distinct().collect()]
+    return lint.portable_names(SimpleNamespace(tables={t: names.where(F.col("type_name") == t).select("_record") for t in types})).select("type_name", "message")
 
 
 @query("SELECT rule, count(*) AS violations FROM lint_violations GROUP BY rule")

@@ -27,18 +27,31 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and Spark runs on this machine alone (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="notelake-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Tables that written() has made in this process.
+_tables: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the tables that written() has made so far; DataFrames built on them can't be read any more."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df written once as a Parquet table in the shared folder and read back: cuts the lineage and keeps the columns prunable.
 
@@ -46,6 +59,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """
     ship(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/notelake-{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
     (df.write.partitionBy(by) if by else df.write).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 

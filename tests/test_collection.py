@@ -135,7 +135,7 @@ def test_file_namespace(spark, harbour):
 def test_tags(spark):
     df = spark.createDataFrame([("a", ["x", "y"]), ("b", None)], "k string, tags array<string>")
     c = Collection.from_tables({"T": (df, "k")}, now=NOW).add_formulas("T", {"x": "file.hasTag('z', 'x')", "n": "file.tags.length"})
-    assert values(c.tables["T"], "_record", "x", "n") == [("a", True, 2), ("b", False, None)]
+    assert values(c.tables["T"], "_record", "x", "n") == [("a", True, 2), ("b", False, 0)]
 
 
 def test_promotion(spark):
