@@ -63,17 +63,21 @@ def _folded_letters() -> dict[int, str]:
     return {ord(chr(a).casefold()): b.casefold() for a, b in _letters().items()}
 
 
+def _fold(look: str) -> str:
+    if _PLAIN.fullmatch(look):
+        return look.lower()
+    once = unicodedata.normalize("NFKC", look).casefold()
+    joined = unicodedata.normalize("NFKD", once).translate(_folded_letters())
+    return unicodedata.normalize("NFKC", _IGNORABLE.sub("", joined))
+
+
 def folded(text: str) -> str:
     """The form for searching: compatibility composed, full case folding, one kind of space, nothing ignorable, lookalike letters joined.
 
     Text that looks the same has one folded form, since it is made from the look; case is folded before the letters that
     remain are joined, so that a word is found in either case, in any script.
     """
-    if _PLAIN.fullmatch(text):
-        return text.lower()
-    once = unicodedata.normalize("NFKC", looks(text)).casefold()
-    joined = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", once)).translate(_folded_letters())
-    return unicodedata.normalize("NFKC", _IGNORABLE.sub("", joined))
+    return _fold(looks(text))
 
 
 FORMS = "struct<look:string,folded:string>"
@@ -89,7 +93,8 @@ def forms(text: Column) -> Column:
     @F.pandas_udf(FORMS)
     def apply(values: pd.Series) -> pd.DataFrame:
         codes, distinct = pd.factorize(values)  # null is -1
-        look, fold = ([*map(form, distinct), None] for form in (looks, folded))
+        look = [looks(v) for v in distinct]
+        fold, look = [*map(_fold, look), None], [*look, None]
         return pd.DataFrame({"look": pd.Series([look[i] for i in codes], dtype=object), "folded": pd.Series([fold[i] for i in codes], dtype=object)})
 
     plain = text.rlike(r"^[ -~]*\z")
